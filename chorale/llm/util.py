@@ -29,7 +29,7 @@ def shared_dir(spark: SparkSession) -> str:
 def table(df: DataFrame) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it again: what follows starts from files, not from lineage."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
