@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .util import small, table
 
 COSINE = 0.6
+#: From this cosine on, a whole text counts as a licence file whatever its name.
+WHOLE = 0.85
 #: A text has to have one of these in some case for its lines to be looked at; every template has one.
 CUES = ("licens", "licenc", "copyright", "spdx", "permission", "redistribut", "public domain")
 FILE_NAME = r"(?i)^(un)?(licen[cs]e|copying|copyright|notice)([._-].*)?$"
@@ -99,7 +101,7 @@ def licenses(df: DataFrame, path: str = "path", cosine: float = COSINE) -> DataF
     scored = table(scored)
     own = scored.groupBy("doc_id", "path").agg(F.max_by("license", F.struct("score", _reverse("license"))).alias("own_license"), F.max("score").alias("own_score"))
 
-    files = scored.where(F.col("whole") | F.regexp_extract("path", r"[^/]*$", 0).rlike(FILE_NAME))
+    files = scored.where((F.col("whole") & (F.col("score") >= WHOLE)) | F.regexp_extract("path", r"[^/]*$", 0).rlike(FILE_NAME))
     files = table(files.select(directory(F.col("path")).alias("dir"), "license", "score").groupBy("dir").agg(F.max_by("license", F.struct("score", _reverse("license"))).alias("dir_license")))
     n_files = files.count()
     dirs = df.select(directory(F.col(path)).alias("dir")).distinct()

@@ -74,11 +74,13 @@ def mix(df: DataFrame, targets: dict[str, int] = TARGETS, rest: int = REST, bloc
     served = served.join(counts, served["source"].eqNullSafe(counts["source"])).select("cycle", F.struct("share", "n", "slots").alias("x"))
     served = served.groupBy("cycle").agg(F.collect_list("x").alias("xs"))
     own = cycle.select(F.col("source").alias("c_source"), "share", "cycle", "j", F.col("slot").alias("c_slot"))
-    rows = df.withColumn("_h", h).withColumn("_part", part)
+    # a row's own columns travel as one, so that their names don't matter here
+    own_columns = [c for c in df.columns if c not in ("mix_block", "mix_slot", "mix_position")]
+    rows = df.select(F.struct(*own_columns).alias("row"), F.col("source").alias("r_source"), F.col("doc_id").alias("r_id"), h.alias("h"), part.alias("r_part"))
     marks = small(start.select(F.col("source").alias("s_source"), F.col("part").alias("s_part"), "start"), start.count())
-    rows = rows.join(marks, rows["source"].eqNullSafe(F.col("s_source")) & (F.col("_part") == F.col("s_part")))
-    local = F.row_number().over(Window.partitionBy("source", "_part").orderBy("_h", "doc_id")) - 1
-    rows = rows.withColumn("_rank", F.col("start") + local).withColumn("mix_block", F.floor(F.col("_rank") / block_rows).cast("long"))
+    rows = rows.join(marks, F.col("r_source").eqNullSafe(F.col("s_source")) & (F.col("r_part") == F.col("s_part")))
+    local = F.row_number().over(Window.partitionBy("r_source", "r_part").orderBy("h", "r_id")) - 1
+    rows = rows.withColumn("rank", F.col("start") + local).withColumn("mix_block", F.floor(F.col("rank") / block_rows).cast("long"))
     # block numbers are dealt to the cycle's slots: block b is block b mod p of cycle b div p
     blocks = counts.join(wanted.select(F.col("source").alias("w_source"), "share"), counts["source"].eqNullSafe(F.col("w_source")))
     blocks = blocks.select("source", "share", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {block_rows}"))).alias("b"))
@@ -89,8 +91,8 @@ def mix(df: DataFrame, targets: dict[str, int] = TARGETS, rest: int = REST, bloc
         + size(filter(x.slots, y -> y < slot % cycle)))))"""
     placed = table(placed.join(F.broadcast(served), "cycle").select(F.col("source").alias("b_source"), "b", "slot", F.expr(ahead).alias("ahead")))
     placed = small(placed, placed.count())
-    out = rows.join(placed, rows["source"].eqNullSafe(F.col("b_source")) & (F.col("mix_block") == F.col("b")))
-    return out.select(*[rows[c] for c in df.columns], "mix_block", F.col("slot").alias("mix_slot"), (F.col("ahead") + F.col("_rank") - F.col("mix_block") * block_rows).alias("mix_position"))
+    out = rows.join(placed, F.col("r_source").eqNullSafe(F.col("b_source")) & (F.col("mix_block") == F.col("b")))
+    return out.select("row.*", "mix_block", F.col("slot").alias("mix_slot"), (F.col("ahead") + F.col("rank") - F.col("mix_block") * block_rows).alias("mix_position"))
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

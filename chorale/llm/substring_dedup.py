@@ -271,10 +271,14 @@ def repeats(df: DataFrame, size: int = SIZE, gram: int = GRAM, filter_bits: int
 
 
 def remove_repeats(df: DataFrame, size: int = SIZE) -> DataFrame:
-    """A row for each row of df: doc_id, n_words, n_removed and kept (the other words, joined by one space)."""
+    """A row for each row of df: doc_id, n_words, n_removed and kept (the other words, joined by one space).
+
+    The spans are broadcast only if few: their number and that of their bounds are counted. Otherwise texts are dealt by doc_id.
+    """
     spans = table(repeats(df, size)).select(F.col("doc_id").alias("s_id"), F.col("h").alias("s_h"), "spans")
     rows = df.select("doc_id", F.coalesce(F.xxhash64("text"), F.lit(0)).alias("h"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
-    rows = rows.join(small(spans, spans.count()), rows["doc_id"].eqNullSafe(F.col("s_id")) & (rows["h"] == F.col("s_h")), "left").select("doc_id", "body", "spans")
+    size_of = spans.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()
+    rows = rows.join(small(spans, size_of[0] + size_of[1] // 4), rows["doc_id"].eqNullSafe(F.col("s_id")) & (rows["h"] == F.col("s_h")), "left").select("doc_id", "body", "spans")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
