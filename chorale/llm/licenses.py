@@ -141,5 +141,35 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses(docs.select("doc_id", "text", path.alias("path")))
 
 
-ORACLE: dict[str, str] = {}
+_SAID = [(name, text) for name, texts in TEMPLATES.items() for text in texts]
+_VALUES = ", ".join("('{}', {}, '{}')".format(name, i, text.replace("'", "''")) for i, (name, text) in enumerate(_SAID))
+_WORDS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+_CUED = "(" + " or ".join(f"contains(lower({{0}}), '{c}')" for c in CUES) + ")"
+ORACLE = {
+    "op5_license_scan": f"""
+        with docs as (select doc_id, text, concat_ws('/', coalesce(source, '-'), coalesce(lang, '-'), coalesce(doc_id::varchar, '-')) as path from documents),
+        tpl as (select * from (values {_VALUES}) v(license, t, txt)),
+        tw as (select license, t, word, count(*) as tf from (select license, t, unnest({_WORDS.format("txt")}) as word from tpl) group by all),
+        seen as (select word, count(*) as df from (select unnest(list_distinct({_WORDS.format("coalesce(text, '')")})) as word from docs) where word in (select word from tw) group by word),
+        total as (select count(*)::double as n from docs),
+        tv as (select license, t, word, tf * (ln((1.0 + n) / (1.0 + coalesce(df, 0))) + 1.0) as w from tw left join seen using (word), total),
+        tn as (select license, t, word, w / sqrt(sum(w * w) over (partition by t)) as t_w from tv),
+        lic as (select doc_id, path, text from docs where {_CUED.format("text")}),
+        units as (select doc_id, path, unit, false as whole from (select doc_id, path, unnest(string_split(text, chr(10))) as unit from lic) where {_CUED.format("unit")}
+                  union all select doc_id, path, text, true from lic),
+        terms as (select unit, word, count(*) as tf from (select unit, unnest({_WORDS.format("unit")}) as word from (select distinct unit from units)) group by all),
+        uv as (select unit, word, tf * (ln((1.0 + n) / (1.0 + coalesce(df, 0))) + 1.0) as w from terms left join seen using (word), total),
+        un as (select unit, sqrt(sum(w * w)) as norm from uv group by unit),
+        cos as (select unit, license, round(sum(w * t_w) / any_value(norm), 6) as score from uv join tn using (word) join un using (unit) group by unit, license, t),
+        best as (select unit, license, score from (select *, row_number() over (partition by unit order by score desc, license) as r from cos where score >= {COSINE}) where r = 1),
+        scored as (select doc_id, path, whole, license, score from units join best using (unit)),
+        own as (select doc_id, path, license as own_license, score as own_score from (select *, row_number() over (partition by doc_id, path order by score desc, license) as r from scored) where r = 1),
+        files as (select dir, license from (select regexp_replace(path, '/?[^/]*$', '') as dir, license, row_number() over (partition by regexp_replace(path, '/?[^/]*$', '') order by score desc, license) as r from scored where whole and score >= {WHOLE}) where r = 1),
+        dirs as (select distinct regexp_replace(path, '/?[^/]*$', '') as dir from docs),
+        near as (select dir, license as dir_license, up from (select d.dir, f.license, f.dir as up, row_number() over (partition by d.dir order by length(f.dir) desc) as r from dirs d join files f on f.dir = '' or d.dir = f.dir or starts_with(d.dir, f.dir || '/')) where r = 1)
+        select d.doc_id, d.path, own_license, own_score, coalesce(own_license, dir_license) as license,
+               case when own_license is not null then 'own' when dir_license is not null then 'inherited' end as origin,
+               case when own_license is null and dir_license is not null then up end as inherited_from
+        from docs d left join own o on d.doc_id = o.doc_id and d.path = o.path left join near n on n.dir = regexp_replace(d.path, '/?[^/]*$', '')"""
+}
 QUERIES = {"op5_license_scan": op5_license_scan}
