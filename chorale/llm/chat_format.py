@@ -192,5 +192,36 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return format_chat(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
 
 
-ORACLE: dict[str, str] = {}
+ORACLE = {
+    # costs[1..4] are those of ending in each state; a conversation's turns are worked off side by side with all others'
+    "op4_chat_format": """
+        with recursive t as (
+            select conv_id, turn, role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls last, role nulls first, text nulls first) as i, count(*) over (partition by conv_id) as n,
+                   case trim(lower(coalesce(role, ''))) when 'system' then 1 when 'developer' then 1 when 'user' then 2 when 'human' then 2 when 'prompter' then 2
+                        when 'assistant' then 3 when 'bot' then 3 when 'gpt' then 3 when 'model' then 3 when 'ai' then 3 else 0 end as r
+            from conversations),
+        fwd(conv_id, i, c, came) as (
+            select distinct conv_id, 0::bigint, [0, 1000000000, 1000000000, 1000000000]::bigint[], [0, 0, 0, 0]::bigint[] from t
+            union all
+            select conv_id, i, [1000000000, list_min(s) + 3 * (r <> 1)::int, list_min(u) + 3 * (r <> 2)::int, list_min(a) + 3 * (r <> 3)::int]::bigint[],
+                   [0, list_position(s, list_min(s)) - 1, list_position(u, list_min(u)) - 1, list_position(a, list_min(a)) - 1]::bigint[]
+            from (select t.conv_id, t.i, t.r, [c[1], c[2] + 1] as s, [c[1], c[2], c[3] + 1, c[4]] as u, [c[1] + 2, c[2] + 2, c[3], c[4] + 1] as a
+                  from fwd join t on t.conv_id = fwd.conv_id and t.i = fwd.i + 1)),
+        bwd(conv_id, i, state) as (
+            select f.conv_id, f.i, list_position([c[1], c[2] + 4, c[3] + 2, c[4]], list_min([c[1], c[2] + 4, c[3] + 2, c[4]])) - 1
+            from fwd f join (select conv_id, max(i) as n from fwd group by conv_id) m on f.conv_id = m.conv_id and f.i = m.n
+            union all
+            select b.conv_id, b.i - 1, f.came[b.state + 1] from bwd b join fwd f on f.conv_id = b.conv_id and f.i = b.i where b.i > 0),
+        x as (select t.*, b.state as s, p.state as was, ['start', 'system', 'user', 'assistant'] as names, b.state = 3 and p.state < 2 as ins, t.i = n and b.state in (1, 2) as ends
+              from t join bwd b on b.conv_id = t.conv_id and b.i = t.i join bwd p on p.conv_id = t.conv_id and p.i = t.i - 1)
+        select conv_id, turn, role, names[s + 1] as new_role,
+               coalesce(nullif(concat_ws('+', case when s <> r then 'relabel' end, case when s = was then 'merge' end, case when ins then 'insert' end), ''), 'keep') || case when ends then '+end' else '' end as action,
+               concat_ws(',', case when ins then 'user' end, case when ends and s = 1 then 'user' end, case when ends then 'assistant' end) as inserted,
+               (3 * (s <> r)::int + (s = was)::int + 2 * ins::int + case when ends then case s when 1 then 4 else 2 end else 0 end)::bigint as cost,
+               case when s = was then chr(10) || chr(10) else case when was > 0 then '<|im_end|>' || chr(10) else '' end || case when ins then '<|im_start|>user' || chr(10) || '<|im_end|>' || chr(10) else '' end
+                    || '<|im_start|>' || names[s + 1] || chr(10) end || text
+               || case when i = n then '<|im_end|>' || chr(10) else '' end || case when ends and s = 1 then '<|im_start|>user' || chr(10) || '<|im_end|>' || chr(10) else '' end
+               || case when ends then '<|im_start|>assistant' || chr(10) || '<|im_end|>' || chr(10) else '' end as rendered
+        from x"""
+}
 QUERIES = {"op4_chat_format": op4_chat_format}
