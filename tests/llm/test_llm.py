@@ -81,11 +81,21 @@ def test_exact_drop_with_repeated_ids(spark):
 # SimHash
 
 
-def brute_fingerprint(text, size):
+def mixed(h):
+    h = (h ^ h >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+    h = (h ^ h >> 27) * 0x94D049BB133111EB % 2**64
+    return h ^ h >> 31
+
+
+def brute_fingerprint(text, size, words=1):
     w = (text or "").encode().lower().split()
     grams = [b" ".join(w[i : i + size]) for i in range(max(1, len(w) - size + 1))] if w else []
-    hs = [xxhash.xxh64_intdigest(g, 42) for g in grams]
-    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+    out = 0
+    for k in range(words):
+        hs = [xxhash.xxh64_intdigest(g, 42) for g in grams]
+        hs = [mixed((h + k * 0x9E3779B97F4A7C15) % 2**64) for h in hs] if k else hs
+        out = out << 64 | sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hs) > len(hs))
+    return out
 
 
 def closure(codes, radius):
@@ -111,28 +121,43 @@ def test_near_copies(spark):
         w[k * 7] = "changed"
         texts.append(" ".join(w))
     fps = [brute_fingerprint(t, 4) for t in texts]
-    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_copies(table(spark, texts), 4, 4).collect()}
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_copies(table(spark, texts), 4, 4, 1).collect()}
     assert got == {i: (f"{f:016x}", c) for i, (f, c) in enumerate(zip(fps, closure(fps, 4)))}
-    kept = sorted(r.doc_id for r in simhash.drop_near_copies(table(spark, texts), 4, 4).collect())
+    kept = sorted(r.doc_id for r in simhash.drop_near_copies(table(spark, texts), 4, 4, 1).collect())
     assert kept == sorted(set(closure(fps, 4)))
     assert simhash.near_copies(table(spark, EMPTY)).count() == 0
 
 
-@pytest.mark.parametrize("n,spread", [(300, 3), (2000, 6), (50, 0)])
-def test_gray_index_links_all(n, spread):
+def test_similar_texts_are_found(spark):
+    r = random.Random(21)
+    texts, pairs = [], []
+    for k in range(40):
+        w = [r.choice(WORDS) + str(r.randrange(500)) for _ in range(150)]
+        texts.append(" ".join(w))
+        w[30 + k], w[100] = "new", "other"  # similarity about 0.87
+        texts.append(" ".join(w))
+        pairs.append((2 * k, 2 * k + 1))
+    got = {x.doc_id: (x.fingerprint, x.component_id) for x in simhash.near_copies(table(spark, texts)).collect()}
+    assert {i: f for i, (f, _) in got.items()} == {i: f"{brute_fingerprint(t, 5, 4):064x}" for i, t in enumerate(texts)}
+    assert sum(got[a][1] == got[b][1] == a for a, b in pairs) >= 38
+    assert all(c // 2 == i // 2 for i, (_, c) in got.items())
+
+
+@pytest.mark.parametrize("n,spread,words", [(300, 3, 1), (2000, 6, 1), (50, 0, 1), (300, 5, 3)])
+def test_gray_index_links_all(n, spread, words):
     rng = np.random.default_rng(n)
-    heads = rng.integers(0, 2**63, 12, dtype=np.uint64)
+    heads = rng.integers(0, 2**63, (12, words), dtype=np.uint64)
     codes = heads[rng.integers(0, 12, n)]
     for _ in range(spread):
-        codes = codes ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64))
-    codes = np.unique(codes)
+        codes = codes ^ (np.uint64(1) << rng.integers(0, 64, (n, words)).astype(np.uint64)) * (rng.random((n, words)) < 1 / words).astype(np.uint64)
+    codes = np.unique(codes, axis=0)
     group = rng.integers(0, 3, len(codes))
-    order = np.lexsort((simhash.gray_rank(codes), group))
+    order = simhash.in_gray_order(codes, group)
     codes, group = codes[order], group[order]
     label = simhash.GrayIndex(codes, group).link(4)
     for g in range(3):
         at = np.flatnonzero(group == g)
-        assert [label[i] for i in at] == [at[j] for j in closure([int(c) for c in codes[at]], 4)]
+        assert [label[i] for i in at] == [at[j] for j in closure([sum(int(x) << 64 * k for k, x in enumerate(c)) for c in codes[at]], 4)]
 
 
 def test_masks_leave_no_pair_apart():
@@ -141,7 +166,7 @@ def test_masks_leave_no_pair_apart():
         ms = simhash.masks(n, 4)
         for _ in range(300):
             diff = sum(1 << b for b in rng.sample(range(64), 4))
-            assert any(diff & m == 0 for m in ms)
+            assert any(diff & m == 0 for (m,) in ms)
 
 
 def test_gray_rank_inverts():
@@ -437,7 +462,7 @@ def test_pipeline_stage_by_stage(spark):
         elif name == "exact_dedup":
             want = {i for i, v in brute_exact(ids, texts).items() if v[2]}
         elif name == "near_dedup":
-            want = {ids[k] for k in closure([brute_fingerprint(t, 5) for t in texts], 4)}
+            want = {ids[k] for k in closure([brute_fingerprint(t, 5, 4) for t in texts], 51)}
         elif name == "decontaminate":
             want = {ids[k] for k, v in brute_hits(texts, items, 13).items() if not v[4]}
         else:
