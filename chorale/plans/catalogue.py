@@ -617,10 +617,10 @@ def resample_linear(spark, sf):
     return signal.resample(A.samples(spark, sf), 12000, 16000).select("clip_id", "idx", R("x").alias("x"))
 
 
-@query("select vec_id, i::bigint as i, round((e[2 * i + 1] + e[2 * i + 2]) / 2, 6) as x from (select *, unnest(range(32)) as i from unit)", UNIT)
+@query("select vec_id, i::bigint as i, round((e[2 * i + 1] + e[2 * i + 2]) / 2, 6) + 0.0::double as x from (select *, unnest(range(32)) as i from unit)", UNIT)
 def downmix(spark, sf):
     v = A.read(spark, sf, "embeddings").select("vec_id", F.posexplode(signal.downmix(F.col("embedding"), 2)).alias("i", "x"))
-    return v.select("vec_id", F.col("i").cast("long").alias("i"), R("x").alias("x"))
+    return v.select("vec_id", F.col("i").cast("long").alias("i"), (R("x") + 0.0).alias("x"))  # no negative zero
 
 
 @query("select i, round(0.5 * (1 - cos(2 * pi() * i / 400)), 6) as w from range(400) t(i)")
