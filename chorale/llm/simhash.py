@@ -9,17 +9,23 @@ distinct fingerprints are searched, and a task passes on a spanning forest of wh
 
 Fingerprints of one word (64 bits) are linked exactly: those that differ in at most r bits agree on some b - r of b blocks, and
 the masks are all choices of b - r blocks. A similarity of texts, rather than a distance, needs longer fingerprints: texts of
-Jaccard similarity 0.8 differ in 15 % of bits, +- 4.5 % in 64 of them, unrelated ones in half. `drop_near_copies` takes four words
-and links up to a fifth of the bits; its masks are samples of bits, as many as find a pair of similarity 0.8 in 97 of 100 cases
-and closer ones nearly always. This is an estimate: a pair between 0.6 and 0.8 may be linked as well.
-
-Defined results: null and empty text have no words and fingerprint zero; equal fingerprints are linked; repeated rows count as
-rows; a null doc_id never names a component unless all are null. Columns other than doc_id and text are ignored.
+Jaccard similarity 0.8 differ in 15 % of bits, +- 4.5 % in 64 of them, unrelated ones in half. `near_copies` takes four words by
+default and links up to a fifth of the bits; its masks are samples of bits, as many as find a pair of similarity 0.8 in 97 of 100
+cases and closer ones nearly always. This is an estimate: a pair between 0.6 and 0.8 may be linked as well.
+
+`drop_near_copies` with longer fingerprints takes them for candidates only: a link counts if the Jaccard similarity of the sets of
+shingles is SIMILAR or more. Fingerprints are of the sets there, so repeats have no weight, and equal sets are compared once. A
+first search passes on a forest of near candidates; a second one passes on all candidates that the links found so far leave in
+different components, so no candidate stays unverified but those that would join what is joined. Shingles are compared as XXH64.
+
+Defined results: null and empty text have no words and fingerprint zero; equal fingerprints are linked; texts without words are
+near copies of each other; repeated rows count as rows; a null doc_id never names a component unless all are null. Columns other
+than doc_id and text are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import accumulate, combinations
 from math import acos, ceil, pi
 
@@ -44,26 +50,53 @@ CROWD, SAMPLED_CROWD = 256, 16
 DIFFER = acos(2 * 0.8 / 1.8) / pi
 #: How many masks are expected to hold such a pair together: 1 - exp(-FOUND) of the pairs are found.
 FOUND = 3.5
+#: Least Jaccard similarity of near copies, as a fraction.
+SIMILAR = (4, 5)
+#: Shingles of all sets that are broadcast at most, some 32 MB; more are joined by shuffle.
+BROADCAST_SHINGLES = 1 << 22
 
 
-def fingerprint(text: bytes, size: int, words: int = 1) -> list[int]:
-    """Majority bits of the XXH64 of all shingles of a text, and of further hashes made of it; handled in bounded pieces."""
+def shingles(text: bytes, size: int) -> Iterator[np.ndarray]:
+    """The XXH64 of all shingles of a text, in bounded pieces."""
     said = text.lower().split()  # bytes: A-Z only, and exactly the white space of the word pattern
-    if not said:
-        return [0] * words
-    digest, bits, n = xxhash.xxh64_intdigest, np.zeros((words, 64), np.int64), max(len(said) - size + 1, 1)
+    digest, n = xxhash.xxh64_intdigest, max(len(said) - size + 1, 1) if said else 0
     for at in range(0, n, 1 << 14):
         part = said[at : at + (1 << 14) + size - 1]
         joined = b" ".join(part)
         starts = [0, *accumulate(len(w) + 1 for w in part)]
         m = max(len(part) - size + 1, 1)
-        hashes = np.fromiter((digest(joined[s : e - 1], SEED) for s, e in zip(starts, starts[min(size, len(part)) :])), np.uint64, m)
+        yield np.fromiter((digest(joined[s : e - 1], SEED) for s, e in zip(starts, starts[min(size, len(part)) :])), np.uint64, m)
+
+
+def majority(pieces: Iterable[np.ndarray], words: int) -> list[int]:
+    """Majority bits of hashes, and of further hashes made of them."""
+    bits, n = np.zeros((words, 64), np.int64), 0
+    for hashes in pieces:
+        n += len(hashes)
         for k in range(words):
             h = _mixed(hashes + np.uint64(k * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) if k else hashes
-            bits[k] += np.unpackbits(h.view(np.uint8).reshape(m, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+            bits[k] += np.unpackbits(h.view(np.uint8).reshape(len(h), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return np.packbits(bits * 2 > n, axis=1, bitorder="little").view(np.uint64).ravel().tolist()
 
 
+def fingerprint(text: bytes, size: int, words: int = 1) -> list[int]:
+    """Majority bits of all shingles of a text, repeats included."""
+    return majority(shingles(text, size), words)
+
+
+def shingle_set(text: bytes, size: int) -> np.ndarray:
+    """The hashes of the distinct shingles of a text, in order."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingles(text, size)]))
+
+
+def set_row(text: bytes, size: int, words: int) -> list[int]:
+    """The fingerprint of a text's set of shingles, its size and two hashes of it."""
+    every = shingle_set(text, size)
+    pieces = (every[at : at + (1 << 14)] for at in range(0, len(every), 1 << 14))
+    body = every.tobytes()
+    return [*majority(pieces, words), len(every), xxhash.xxh64_intdigest(body, 1), xxhash.xxh64_intdigest(body, 2)]
+
+
 def _mixed(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -74,18 +107,23 @@ def names(words: int) -> list[str]:
     return [f"f{k}" for k in range(words)]
 
 
-def fingerprint_table(df: DataFrame, size: int, words: int = 1) -> DataFrame:
-    """doc_id and f0, f1, ... (64 bits each as a long) of each row."""
+def hash_table(df: DataFrame, of: Callable[[bytes], list[int]], columns: list[str]) -> DataFrame:
+    """doc_id and what of() makes of each row's text, a long for each column."""
     arrow_rows(df.sparkSession)
     rows = df.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in runs(batch, "body"):
-                fps = np.array([fingerprint(x.as_py(), size, words) for x in part.column(1)], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c) for c in fps.T)], names=["doc_id", *names(words)])
+                made = np.array([of(x.as_py()) for x in part.column(1)], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c) for c in made.T)], names=["doc_id", *columns])
 
-    return rows.mapInArrow(hashed, f"doc_id {id_type(df)}, " + ", ".join(f"{c} long" for c in names(words)))
+    return rows.mapInArrow(hashed, f"doc_id {id_type(df)}, " + ", ".join(f"{c} long" for c in columns))
+
+
+def fingerprint_table(df: DataFrame, size: int, words: int = 1) -> DataFrame:
+    """doc_id and f0, f1, ... (64 bits each as a long) of each row."""
+    return hash_table(df, lambda text: fingerprint(text, size, words), names(words))
 
 
 def masks(n: int, radius: int, words: int = 1) -> list[list[int]]:
@@ -128,6 +166,21 @@ def unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def nearest_first(label: np.ndarray, a: np.ndarray, b: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """label with all pairs joined, and which pairs make the forest of least distances d that joins them (Boruvka's)."""
+    left, taken = np.argsort(d, kind="stable"), []
+    while True:
+        left = left[label[a[left]] != label[b[left]]]
+        if not len(left):
+            return label, np.concatenate([np.zeros(0, np.int64), *taken])
+        best, rank = np.full(len(label), len(left)), np.arange(len(left))
+        np.minimum.at(best, label[a[left]], rank)
+        np.minimum.at(best, label[b[left]], rank)
+        chosen = left[np.unique(best[best < len(left)])]
+        taken.append(chosen)
+        label = unite(label, a[chosen], b[chosen])
+
+
 def in_gray_order(codes: np.ndarray, group: np.ndarray) -> np.ndarray:
     """The order of codes [n, words] by group and Gray rank, word for word."""
     return np.lexsort((*(gray_rank(codes[:, k].copy()) for k in reversed(range(codes.shape[1]))), group))
@@ -172,15 +225,16 @@ class GrayIndex:
             out.append(np.where(low == high, low, -1))
         return out[::-1]
 
-    def link(self, radius: int) -> np.ndarray:
-        """The component of each code, as the least index in it, after all links within groups."""
-        codes, label = self.codes, np.arange(len(self.codes))
+    def near(self, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs within groups and their distances, a batch at a time, without those that self.label joined before the batch."""
+        codes = self.codes
         bounds = np.searchsorted(self.roots, self.group)
         size = np.bincount(bounds)[bounds]
         work = np.cumsum(size) * codes.shape[1]
         at = 0
         while at < len(codes):
             to = max(at + 1, int(np.searchsorted(work, (work[at - 1] if at else 0) + FRONTIER, side="right")))
+            label = self.label
             same = self.uniform(label)
             q = np.arange(at, to)
             node, acc = bounds[q], np.zeros(to - at, np.int32)
@@ -195,13 +249,35 @@ class GrayIndex:
             q, node, acc = q[go], node[go], acc[go]
             acc = acc + differences(codes[q], codes[node], self.left[node])
             go = acc <= radius
-            label = unite(label, q[go], node[go])
+            yield q[go], node[go], acc[go]
             at = to
-        return label
+
+    def link(self, radius: int) -> np.ndarray:
+        """The component of each code, as the least index in it, after all links within groups."""
+        self.label = np.arange(len(self.codes))
+        for a, b, _ in self.near(radius):
+            self.label = unite(self.label, a, b)
+        return self.label
+
+    def candidates(self, radius: int, size: np.ndarray, owner: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs whose sets' sizes allow for SIMILAR: all between different owners, or a forest of near ones if there are none yet."""
+        self.label = np.arange(len(self.codes)) if owner is None else np.unique(owner, return_inverse=True)[1]
+        for a, b, d in self.near(radius):
+            go = SIMILAR[1] * np.minimum(size[a], size[b]) >= SIMILAR[0] * np.maximum(size[a], size[b])
+            go &= self.label[a] != self.label[b]
+            a, b = a[go], b[go]
+            if owner is None:
+                self.label, go = nearest_first(self.label, a, b, d[go])
+                a, b = a[go], b[go]
+            yield a, b
 
 
 def links(found: DataFrame, n: int, radius: int, words: int = 1) -> DataFrame:
-    """A spanning forest (a, b) of the links of distinct fingerprints found(id, f0, ...)."""
+    """A spanning forest (a, b) of the links of distinct fingerprints found(id, f0, ...).
+
+    If found has m, the size of each id's set, these are candidates of SIMILAR instead: a forest of near ones or, if found has c,
+    the component of each id, all between different components.
+    """
     spark = found.sparkSession
     chosen, fs = masks(n, radius, words), names(words)
     signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m).cast("long")
@@ -211,16 +287,22 @@ def links(found: DataFrame, n: int, radius: int, words: int = 1) -> DataFrame:
     nodes = F.posexplode(F.array(*keys)).alias("t", "key")
     # tasks get some COLLECTED rows each
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * len(chosen) // (COLLECTED * 4))
-    dealt = found.select("id", *fs, nodes).select("t", "key", "id", *fs).repartition(parts, "t", "key").sortWithinPartitions("t", "key")
+    more_of = [c for c in ("m", "c") if c in found.columns]
+    dealt = found.select("id", *fs, *more_of, nodes).select("t", "key", "id", *fs, *more_of).repartition(parts, "t", "key").sortWithinPartitions("t", "key")
 
-    def searched(t: np.ndarray, key: np.ndarray, ids: np.ndarray, *fps: np.ndarray) -> pa.RecordBatch:
+    def searched(t: np.ndarray, key: np.ndarray, ids: np.ndarray, *rest: np.ndarray) -> pa.RecordBatch:
         group = np.cumsum(np.concatenate([[0], (t[1:] != t[:-1]) | (key[1:] != key[:-1])]))
         more = np.bincount(group)[group] > 1
-        group, ids, codes = group[more], ids[more], np.stack([f[more].view(np.uint64) for f in fps], axis=1)
+        group, ids, codes = group[more], ids[more], np.stack([f[more].view(np.uint64) for f in rest[:words]], axis=1)
         if not len(codes):
             return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["a", "b"])
         order = in_gray_order(codes, group)
         codes, group, ids = codes[order], group[order], ids[order]
+        if more_of:
+            size, *owner = (x[more][order] for x in rest[words:])
+            pairs = list(GrayIndex(codes, group).candidates(radius, size, owner[0] if owner else None))
+            a, b = (ids[np.concatenate(x)] for x in zip(*pairs))
+            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
         label = GrayIndex(codes, group).link(radius)
         linked = label != np.arange(len(label))
         return pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[label[linked]])], names=["a", "b"])
@@ -266,9 +348,56 @@ def near_copies(df: DataFrame, size: int = 5, radius: int = 51, words: int = 4)
     return found.join(nodes, fs).select("doc_id", shown.alias("fingerprint"), "component_id", "component_size")
 
 
+def verified(pairs: DataFrame, df: DataFrame, first: DataFrame, size: int) -> DataFrame:
+    """The pairs (a, b) of ids whose sets of shingles have the similarity SIMILAR; first(id, doc_id, h) has a text of each id."""
+    spark = df.sparkSession
+    sought = table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    sought = sought.join(first, "id").select("id", F.col("doc_id").alias("i"), "h")
+    texts = df.select("doc_id", F.xxhash64("text").alias("x"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
+    texts = texts.join(small(sought, sought.count()), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("x") == F.col("h"))).select("id", "body")
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in runs(batch, "body"):
+                made = [shingle_set(x.as_py(), size).view(np.int64) for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.list_(pa.int64()))], names=["id", "s"])
+
+    arrow_rows(spark)
+    sets = table(texts.mapInArrow(hashed, "id long, s array<long>").dropDuplicates(["id"]))
+    few = (sets.agg(F.sum(F.size("s"))).first()[0] or 0) <= BROADCAST_SHINGLES
+    side = lambda k: (F.broadcast if few else lambda x: x)(sets.select(F.col("id").alias(k), F.col("s").alias(f"s{k}")))
+    both = F.size(F.array_intersect("sa", "sb"))
+    enough = SIMILAR[1] * both >= SIMILAR[0] * (F.size("sa") + F.size("sb") - both)
+    return pairs.join(side("a"), "a").join(side("b"), "b").where(enough).select("a", "b")
+
+
+def similar(df: DataFrame, size: int, radius: int, words: int) -> DataFrame:
+    """doc_id and component_id of each row of df, where links are candidates of the similarity SIMILAR."""
+    fs = names(words)
+    key = [*fs, "m", "s0", "s1"]
+    # the hash of a text tells rows of the same doc_id apart
+    with_text = df.select("doc_id", "text")
+    found = table(hash_table(with_text.withColumn("doc_id", F.struct("doc_id", F.xxhash64("text").alias("h"))), lambda text: set_row(text, size, words), key))
+    least = F.min(F.struct(F.col("doc_id.doc_id").isNull().alias("none"), F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.h").alias("h"))).alias("first")
+    nodes = table(found.groupBy(*key).agg(least).withColumn("id", F.monotonically_increasing_id()))  # ids are given once, by writing them
+    first, n = nodes.select("id", "first.doc_id", "first.h"), nodes.count()
+    tried = table(links(nodes.select("id", *fs, "m"), n, radius, words))
+    reached = components(verified(tried, df, first, size))
+    owned = table(nodes.join(reached, nodes["id"] == reached["node"], "left").select(*nodes.columns, F.coalesce("component", "id").alias("c")))
+    rest = table(links(owned.select("id", *fs, "m", "c"), n, radius, words))
+    more = table(verified(rest, df, first, size))
+    if more.count():
+        reached = components(reached.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
+        owned = table(nodes.join(reached, nodes["id"] == reached["node"], "left").select(*nodes.columns, F.coalesce("component", "id").alias("c")))
+    kept = owned.groupBy("c").agg(F.min("first").alias("kept"))
+    owned = owned.join(kept, "c").select(*key, "kept")
+    return found.join(owned, key).select("doc_id.doc_id", F.col("kept.doc_id").alias("component_id"))
+
+
 def drop_near_copies(df: DataFrame, size: int = 5, radius: int = 51, words: int = 4) -> DataFrame:
-    """df with the least doc_id of each component; all columns kept."""
-    gone = table(near_copies(df, size, radius, words).where("doc_id <> component_id").select("doc_id").distinct())
+    """df with the least doc_id of each component; all columns kept. Links of more than one word are verified."""
+    found = near_copies(df, size, radius, words) if words == 1 else similar(df, size, radius, words)
+    gone = table(found.where("doc_id <> component_id").select("doc_id").distinct())
     return df.join(small(gone, gone.count()), "doc_id", "left_anti").select(*df.columns)
 
 

@@ -143,6 +143,25 @@ def test_similar_texts_are_found(spark):
     assert all(c // 2 == i // 2 for i, (_, c) in got.items())
 
 
+def test_only_similar_texts_are_dropped(spark):
+    r = random.Random(22)
+    say = lambda k: [r.choice(WORDS) + str(r.randrange(500)) for _ in range(k)]
+    texts = []
+    for k in range(60):
+        w = say(150)
+        texts.append(" ".join(w))
+        for i in range(r.randrange(1, 9)):  # similarity from 0.94 to 0.5
+            w[i * 17 + 5] = "new"
+        texts.append(" ".join(w))
+    # repeats: one shingle outweighs all the others, so fingerprints are the same whatever the others are
+    texts += ["a b c d e " * 40 + " ".join(say(20)) for _ in range(4)] + ["", " "] + [" ".join(["again"] * n) for n in (5, 90)]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if (w := t.split()) else set() for t in texts]
+    near = [[5 * len(a & b) >= 4 * len(a | b) for b in sets] for a in sets]
+    kept = {x.doc_id for x in simhash.drop_near_copies(table(spark, texts)).collect()}
+    want = {i for i in range(len(texts)) if not any(near[i][:i])}
+    assert want <= kept and len(kept - want) <= 3  # none too many are dropped; candidates are found in 97 of 100 cases at 0.8
+
+
 @pytest.mark.parametrize("n,spread,words", [(300, 3, 1), (2000, 6, 1), (50, 0, 1), (300, 5, 3)])
 def test_gray_index_links_all(n, spread, words):
     rng = np.random.default_rng(n)
