@@ -69,6 +69,11 @@ def occurrences(documents: DataFrame, indexed: DataFrame, n: int) -> DataFrame:
 
 def contamination(documents: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
     """A row for each row of documents: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    return by_text(documents, benchmark, size).drop("h")
+
+
+def by_text(documents: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
+    """contamination with h (of the text)."""
     wins = table(windows(benchmark, size))
     indexed = table(by_rarity(wins, documents))
     hits = table(occurrences(documents, indexed, indexed.count()).distinct())
@@ -89,6 +94,7 @@ def contamination(documents: DataFrame, benchmark: DataFrame, size: int = SIZE)
     n_hit, listed = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
     return out.select(
         "doc_id",
+        "h",
         "n_words",
         n_hit.alias("n_hit"),
         F.size(listed).cast("long").alias("n_items"),
@@ -98,10 +104,10 @@ def contamination(documents: DataFrame, benchmark: DataFrame, size: int = SIZE)
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """documents without contaminated ones; all columns kept. Rows that share a doc_id go together."""
-    gone = table(contamination(documents, benchmark, size).where("contaminated").select("doc_id").distinct())
+    """documents without contaminated ones; all columns kept. Of rows that share a doc_id or have none, those with a contaminated text go."""
+    gone = table(by_text(documents, benchmark, size).where("contaminated").select("doc_id", "h").distinct())
     mark = small(gone, gone.count()).alias("g")
-    return documents.alias("d").join(mark, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")), "left_anti")
+    return documents.alias("d").join(mark, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.h")), "left_anti")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -371,15 +371,17 @@ def verified(pairs: DataFrame, df: DataFrame, first: DataFrame, size: int) -> Da
     return pairs.join(side("a"), "a").join(side("b"), "b").where(enough).select("a", "b")
 
 
+def keyed(df: DataFrame) -> DataFrame:
+    """doc_id with the hash of the text, which tells rows of the same doc_id apart, and text; null ids are the greatest."""
+    return df.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.xxhash64("text").alias("h")).alias("doc_id"), "text")
+
+
 def similar(df: DataFrame, size: int, radius: int, words: int) -> DataFrame:
-    """doc_id and component_id of each row of df, where links are candidates of the similarity SIMILAR."""
+    """doc_id and component_id of each row of df(doc_id, text), both as keyed() makes them, by links of the similarity SIMILAR."""
     fs = names(words)
     key = [*fs, "m", "s0", "s1"]
-    # the hash of a text tells rows of the same doc_id apart
-    with_text = df.select("doc_id", "text")
-    found = table(hash_table(with_text.withColumn("doc_id", F.struct("doc_id", F.xxhash64("text").alias("h"))), lambda text: set_row(text, size, words), key))
-    least = F.min(F.struct(F.col("doc_id.doc_id").isNull().alias("none"), F.col("doc_id.doc_id").alias("doc_id"), F.col("doc_id.h").alias("h"))).alias("first")
-    nodes = table(found.groupBy(*key).agg(least).withColumn("id", F.monotonically_increasing_id()))  # ids are given once, by writing them
+    found = table(hash_table(keyed(df), lambda text: set_row(text, size, words), key))
+    nodes = table(found.groupBy(*key).agg(F.min("doc_id").alias("first")).withColumn("id", F.monotonically_increasing_id()))  # ids are given once, by writing them
     first, n = nodes.select("id", "first.doc_id", "first.h"), nodes.count()
     tried = table(links(nodes.select("id", *fs, "m"), n, radius, words))
     reached = components(verified(tried, df, first, size))
@@ -391,14 +393,19 @@ def similar(df: DataFrame, size: int, radius: int, words: int) -> DataFrame:
         owned = table(nodes.join(reached, nodes["id"] == reached["node"], "left").select(*nodes.columns, F.coalesce("component", "id").alias("c")))
     kept = owned.groupBy("c").agg(F.min("first").alias("kept"))
     owned = owned.join(kept, "c").select(*key, "kept")
-    return found.join(owned, key).select("doc_id.doc_id", F.col("kept.doc_id").alias("component_id"))
+    return found.join(owned, key).select("doc_id", F.col("kept").alias("component_id"))
 
 
 def drop_near_copies(df: DataFrame, size: int = 5, radius: int = 51, words: int = 4) -> DataFrame:
-    """df with the least doc_id of each component; all columns kept. Links of more than one word are verified."""
-    found = near_copies(df, size, radius, words) if words == 1 else similar(df, size, radius, words)
-    gone = table(found.where("doc_id <> component_id").select("doc_id").distinct())
-    return df.join(small(gone, gone.count()), "doc_id", "left_anti").select(*df.columns)
+    """df with the least doc_id of each component; all columns kept. Links of more than one word are verified.
+
+    Rows go by doc_id and text: of those that share a doc_id or have none, only the near copies go; equal ones stay together.
+    """
+    found = near_copies(keyed(df), size, radius, words) if words == 1 else similar(df, size, radius, words)
+    gone = table(found.where("doc_id <> component_id").select(F.col("doc_id.doc_id").alias("i"), F.col("doc_id.h").alias("h")).distinct())
+    mark = small(gone, gone.count()).alias("g")
+    same = F.col("d.doc_id").eqNullSafe(F.col("g.i")) & (F.xxhash64("d.text") == F.col("g.h"))
+    return df.alias("d").join(mark, same, "left_anti").select(*df.columns)
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -493,6 +493,19 @@ def test_pipeline_stage_by_stage(spark):
     assert sorted(r.doc_id for r in p.run(spark, sf).collect()) == sorted(after)
 
 
+def test_null_and_repeated_ids_go_by_text(spark):
+    say = lambda k: " ".join(f"w{(k * 1000 + i) * 7919 % 99991}" for i in range(150))
+    near = lambda k: say(k).replace(" ", " new ", 1)
+    given = [(None, say(1)), (None, near(1)), (None, say(2)), (7, say(3)), (4, near(3)), (7, say(5)), (9, say(6)), (None, near(6))]
+    docs = table(spark, [t for _, t in given], [i for i, _ in given])
+    for args in ((), (5, 12, 1)):
+        kept = [(r.doc_id, r.text) for r in simhash.drop_near_copies(docs, *args).collect()]
+        assert len(kept) == 5 and {(None, say(2)), (4, near(3)), (7, say(5)), (9, say(6))} < set(kept), args
+    bench = spark.createDataFrame([(1, say(1)), (2, say(5))], "item_id long, text string")
+    kept = collections.Counter((r.doc_id, r.text) for r in decontaminate.drop_contaminated(docs, bench).collect())
+    assert kept == collections.Counter(g for g in given if g[1] not in (say(1), near(1), say(5)))
+
+
 def test_odd_documents_pass_the_pipeline(spark):
     import corpus_pipeline as p
 
