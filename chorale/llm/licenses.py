@@ -1,7 +1,7 @@
 """License scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory. DataFrame functions only.
 
-Units are compared with templates: each line of a text that has a cue (a header or notice) and, of such texts, the text as a
-whole (a licence file). A unit's vector has tf * idf for each word; idf counts the documents that have the word over all
+Units are compared with templates: each line of a text (a header or notice) and the text as a whole (a licence file). Those that
+have none of the words that a cosine of COSINE takes, by the weights of the templates' words, are left out first. A unit's vector has tf * idf for each word; idf counts the documents that have the word over all
 documents, words that no template has get the idf of a word seen nowhere. Equal units are compared once. A text's own licence is
 that of its best unit, if the cosine is at least COSINE. A licence file, which is one by its file name or because the whole text
 is close to a template, stands for its directory; a text without its own licence inherits from the nearest directory above it
@@ -21,8 +21,6 @@ from .util import small, table
 COSINE = 0.6
 #: From this cosine on, a whole text counts as a licence file whatever its name.
 WHOLE = 0.85
-#: A text has to have one of these in some case for its lines to be looked at; every template has one.
-CUES = ("licens", "licenc", "copyright", "spdx", "permission", "redistribut", "public domain")
 FILE_NAME = r"(?i)^(un)?(licen[cs]e|copying|copyright|notice)([._-].*)?$"
 
 #: Short notices by which licences are declared in headers and licence files.
@@ -39,7 +37,7 @@ TEMPLATES = {
     "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "CC0-1.0": ["Dedicated to the public domain under CC0 1.0.", "This is free and unencumbered software released into the public domain."],
-    "ARR": ["Copyright. All rights reserved."],
+    "ARR": ["Copyright. All rights reserved.", "All rights reserved."],
 }
 
 
@@ -47,11 +45,23 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def cued(text: Column) -> Column:
-    low, any_of = F.lower(text), F.lit(False)
-    for cue in CUES:
-        any_of = any_of | low.contains(cue)
-    return any_of
+def needed_words(weights: list[tuple[int, str, float]], cosine: float) -> list[str]:
+    """Words of which a unit has one if its cosine to some template is at least that; weights(t, word, t_w) of unit length.
+
+    The cosine is at most the length of the template's vector on the words in common (Cauchy-Schwarz). So a template's words of
+    least weight may be passed over, as long as their length stays below; the others, the rarest, are needed.
+    """
+    of: dict[int, list[tuple[float, str]]] = {}
+    for t, word, w in weights:
+        of.setdefault(t, []).append((w, word))
+    out = set()
+    for words_of in of.values():
+        length = 0.0
+        for w, word in sorted(words_of):
+            length += w * w
+            if length >= (cosine - 1e-6) ** 2:  # scores are rounded to six digits
+                out.add(word)
+    return sorted(out)
 
 
 def templates(spark: SparkSession) -> DataFrame:
@@ -85,10 +95,13 @@ def licenses(df: DataFrame, path: str = "path", cosine: float = COSINE) -> DataF
     norms = weights.groupBy("t").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
     weights = table(weights.join(norms, "t").select("license", "word", "t", (F.col("w") / F.col("t_norm")).alias("t_w")))
 
-    # (unit, whole) of each text with a cue; equal units are compared once
+    needed = F.array(*map(F.lit, needed_words([tuple(r) for r in weights.select("t", "word", "t_w").collect()], cosine)))  # bounded by the templates
+    may_match = lambda unit: F.arrays_overlap(words(unit), needed)
+
+    # (unit, whole) of each text that may match; equal units are compared once
     place = F.coalesce(F.col(path), F.lit(""))
-    docs = df.where(cued(F.col("text"))).select("doc_id", place.alias("path"), "text")
-    lines = docs.select("doc_id", "path", F.explode(F.split("text", "\n")).alias("unit"), F.lit(False).alias("whole")).where(cued(F.col("unit")))
+    docs = df.where(may_match(F.col("text"))).select("doc_id", place.alias("path"), "text")
+    lines = docs.select("doc_id", "path", F.explode(F.split("text", "\n")).alias("unit"), F.lit(False).alias("whole")).where(may_match(F.col("unit")))
     units = lines.unionByName(docs.select("doc_id", "path", F.col("text").alias("unit"), F.lit(True).alias("whole"))).withColumn("u", F.sha2("unit", 256))
     units = table(units)
     terms = units.groupBy("u").agg(F.min("unit").alias("unit")).select("u", F.explode(words(F.col("unit"))).alias("word")).groupBy("u", "word").agg(F.count(F.lit(1)).alias("tf"))
@@ -141,7 +154,10 @@ def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses(docs.select("doc_id", "text", path.alias("path")))
 
 
-_SAID = [(name, text) for name, texts in TEMPLATES.items() for text in texts]
+#: The SQL stands as it was given: it looks only at texts and lines with one of these and lacks the last template, so it gives
+#: lines such as "All rights reserved." no licence of their own, where the query does.
+CUES = ("licens", "licenc", "copyright", "spdx", "permission", "redistribut", "public domain")
+_SAID = [(name, text) for name, texts in TEMPLATES.items() for text in texts][:-1]
 _VALUES = ", ".join("('{}', {}, '{}')".format(name, i, text.replace("'", "''")) for i, (name, text) in enumerate(_SAID))
 _WORDS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
 _CUED = "(" + " or ".join(f"contains(lower({{0}}), '{c}')" for c in CUES) + ")"

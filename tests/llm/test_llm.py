@@ -454,6 +454,35 @@ def test_licences_and_inheritance(spark):
     assert licenses.licenses(df).count() == 9 and licenses.licenses(df.limit(0)).count() == 0
 
 
+def test_no_licence_is_filtered_out(spark):
+    r = random.Random(31)
+    said = [t for texts in licenses.TEMPLATES.values() for t in texts]
+    texts = ["All rights reserved.", "x = 1\nAll rights reserved.\ny = 2", "BSD 3-Clause", "GNU Affero General Public", "CC0 1.0 dedicated", "all of it"]
+    for t in said:  # templates without some of their words, among others
+        w = [x for x in licenses._plain_words(t) if r.random() < 0.7] + [f"z{r.randrange(9)}" for _ in range(r.randrange(3))]
+        texts.append(" ".join(w))
+    texts += ["other words of no licence"] * 400
+    n = len(texts)
+    sets = [set(licenses._plain_words(t)) for t in texts]
+    idf = lambda w: np.log((1 + n) / (1 + sum(w in s for s in sets) * any(w in licenses._plain_words(t) for t in said))) + 1
+    known = {w: idf(w) for t in texts + said for w in licenses._plain_words(t)}
+
+    def vector(text):
+        return {w: k * known[w] for w, k in collections.Counter(licenses._plain_words(text)).items()}
+
+    def cosine(a, b):
+        length = lambda v: np.sqrt(sum(x * x for x in v.values()))
+        return sum(x * b.get(w, 0) for w, x in a.items()) / max(length(a) * length(b), 1e-9)
+
+    vectors = [vector(t) for t in said]
+    want = [max(cosine(vector(u), v) for u in (text, *text.split("\n")) for v in vectors) for text in texts]
+    df = spark.createDataFrame([(i, t, f"d{i}/x") for i, t in enumerate(texts)], "doc_id long, text string, path string")
+    got = {x.doc_id: x.own_score for x in licenses.licenses(df).collect()}
+    for i, best in enumerate(want):
+        assert (got[i] or 0) == pytest.approx(best if best >= licenses.COSINE else 0, abs=2e-6), texts[i]
+    assert got[0] and got[1]
+
+
 # queries and pipeline
 
 
