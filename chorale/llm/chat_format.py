@@ -23,7 +23,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import arrow_rows
 
 MERGE, INSERT, RELABEL = 1, 2, 3
 CHUNK = 4096
@@ -115,7 +114,6 @@ def groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple
 
 def format_chat(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """A row for each row of df: conv_id, turn, role, new_role, action, inserted, cost, rendered."""
-    arrow_rows(df.sparkSession, 4096)
     conv, turn = df.schema["conv_id"].dataType.simpleString(), df.schema["turn"].dataType.simpleString()
     lost = F.col("conv_id").isNull()
     alone = F.xxhash64("turn", "role", "text")

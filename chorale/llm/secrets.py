@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import arrow_rows, id_type, runs
+from .util import id_type, runs
 
 KINDS = ("assign", "access", "hex", "guess")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
@@ -143,7 +143,6 @@ def named(spans: list[tuple[int, int, int]]) -> str:
 
 def scan(df: DataFrame, least: float = MIN_LOG10) -> DataFrame:
     """A row for each row of df: doc_id, n_assign, n_access, n_hex, n_guess, base (spans) and spans."""
-    arrow_rows(df.sparkSession)
     rows = df.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("body"))
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

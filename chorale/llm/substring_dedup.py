@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import arrow_rows, id_type, runs, small, table
+from .util import id_type, runs, small, table
 
 SIZE = 35
 GRAM = 8
@@ -238,7 +238,6 @@ def subtrees(dealt: DataFrame, size: int) -> DataFrame:
 def repeats(df: DataFrame, size: int = SIZE, gram: int = GRAM, filter_bits: int = FILTER_BITS) -> DataFrame:
     """doc_id, h (XXH64 of the text) and the words of it that repeated windows cover: spans, an array of start, end, start, ..."""
     spark, kind = df.sparkSession, id_type(df)
-    arrow_rows(spark)
     gram = min(gram, size)
     rows = df.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("body"))
     recurring = table(anchors(rows, size, gram).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))

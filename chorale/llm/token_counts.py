@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import arrow_rows, id_type, runs
+from .util import documents, id_type, runs
 
 LIMIT = 1024
 #: The pattern of byte-level pre-tokenizers; a fixed value.
@@ -130,7 +130,6 @@ def merger(path: str) -> PairMerger:
 
 def token_counts(df: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """A row for each row of df: doc_id, n_bytes, n_tokens, over_limit."""
-    arrow_rows(df.sparkSession)
     rows = df.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("body"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,7 +146,7 @@ def token_counts(df: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return token_counts(spark.read.parquet(f"{sf_dir}/documents.parquet"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 ORACLE: dict[str, str] = {}

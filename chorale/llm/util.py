@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,19 +11,22 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in an Arrow batch sent to Python; texts are cut into smaller runs by bytes there.
-ARROW_ROWS = 512
 #: A side is broadcast only when it was counted to have no more rows than this.
 BROADCAST_ROWS = 400_000
+#: Rows of one key that a shuffled join may bring into a task; keys with more of them are few and are broadcast.
+HOT_ROWS = 50_000
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one is made only where the setting is absent, as in tests."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a local master gets a temporary one; on a cluster it is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="chorale-"))
+        given = spark.conf.get("spark.checkpoint.dir", None)
+        if not given and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        sc.setCheckpointDir(given or tempfile.mkdtemp(prefix="chorale-"))
     return sc.getCheckpointDir()
 
 
@@ -33,13 +37,34 @@ def table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt anew if its input comes in fewer partitions than there are cores, as files of one large row group do."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """df, marked for broadcast if it was counted to be small; otherwise Spark joins by shuffle."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
-def arrow_rows(spark: SparkSession, n: int = ARROW_ROWS) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(n))
+def with_known(rows: DataFrame, known: DataFrame, key: list[str], weight: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """rows with the columns of known, a written table of one row for each key of rows; weight says how many rows the key has.
+
+    known is broadcast if it was counted to be small. Otherwise keys with many rows, of which there can only be few, are
+    broadcast, and the others are joined by shuffle. Keys aren't null; rows without a match get nulls.
+    """
+    n, total = known.agg(F.count(F.lit(1)), F.sum(weight)).first()
+    if n <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(known), key, "left")
+    most = max(hot_rows, -(-total // BROADCAST_ROWS))
+    hot = F.broadcast(known.where(F.col(weight) > most))
+    spread = rows.join(hot.select(*key), key, "left_anti").join(known.where(F.col(weight) <= most), key, "left")
+    return rows.join(hot, key).unionByName(spread)
 
 
 def lower_az(c: Column) -> Column:
