@@ -7,10 +7,16 @@ bound for room before and behind the word; what is left is compared word for wor
 the words of a document are never written or shuffled.
 
 The windows of a benchmark are broadcast in blocks of a counted size, one pass over the documents for each block; blocks are
-dealt by hash, so there is a way for a benchmark of any size. Covered words are counted from starts and ends in order, per text.
+dealt by hash, so there is a way for a benchmark of any size. The first pass counts each document's words as well, by a mark
+behind the last one. Covered words are counted from starts and ends in order, per text. Windows with the same items share a set
+of items, and texts with the same sets share their union, so a window that all items have costs a document one number.
+
+`drop_contaminated` has its own rule, as a long document may hold a passage that is a small part of it: a document goes if it
+holds any window of full size, or if windows of shorter items cover a twentieth of its words.
 
 Defined results: null and empty text have no words, no hits and the SHA-256 of the empty string; null or empty items have no
-windows; items with the same item_id count once; rows with the same doc_id and text get the same result each.
+windows; items with the same item_id count once; rows with the same doc_id and text get the same result each; extra columns are
+ignored by `contamination` and kept by `drop_contaminated`, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,18 +26,25 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .util import lower_az, small, table
+from .util import documents, lower_az, small, table, with_known
 
 SIZE = 13
 #: Windows of a benchmark in one broadcast: some 50 MB at most for words of usual length.
 BLOCK = 200_000
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Stands behind a document's last word; no word is like it.
+MARK = " "
 
 
 def words(text: Column) -> Column:
     return F.array_remove(F.split(lower_az(text), GAP), "")
 
 
+def text_hash(text: Column) -> Column:
+    """Tells texts of one doc_id apart; null is the empty text."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 def windows(benchmark: DataFrame, size: int) -> DataFrame:
     """item_id and the words of each window."""
     said = benchmark.select("item_id", words(F.col("text")).alias("w")).where("size(w) > 0")
@@ -39,79 +52,106 @@ def windows(benchmark: DataFrame, size: int) -> DataFrame:
     return said.select("item_id", F.explode(starts).alias("s"), "w").select("item_id", F.slice("w", F.col("s") + 1, size).alias("window")).distinct()
 
 
-def by_rarity(wins: DataFrame, documents: DataFrame) -> DataFrame:
+def by_rarity(wins: DataFrame, docs: DataFrame) -> DataFrame:
     """Distinct windows with their rarest word (prefix) and its offset; counts are of all documents' words."""
-    sought = wins.select(F.explode("window").alias("word")).distinct()
-    sought = table(sought)
-    every = documents.select(F.explode_outer(words(F.col("text"))).alias("word"))
-    counts = every.join(small(sought, sought.count()), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    sought = table(wins.select(F.explode("window").alias("word")).distinct())
+    n = sought.count()
+    every = docs.select(F.explode_outer(words(F.col("text"))).alias("word"))
+    counts = table(every.join(small(sought, n), "word").groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     each = wins.select("window").distinct().select("window", F.posexplode("window").alias("offset", "word"))
     # a word that no document has makes its window impossible: the inner joins would keep it by its other words
-    rare = each.join(counts, "word", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "offset")).alias("r"))
+    rare = each.join(small(counts, n), "word", "left").groupBy("window").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "offset")).alias("r"))
     return rare.where("r.n > 0").select("window", F.col("r.word").alias("prefix"), F.col("r.offset").alias("offset"))
 
 
-def occurrences(documents: DataFrame, indexed: DataFrame, n: int) -> DataFrame:
-    """doc_id, h (of the text), start and window of each place in documents where a window occurs."""
+def occurrences(docs: DataFrame, indexed: DataFrame, n: int) -> DataFrame:
+    """doc_id, h (of the text), start, len and sid of each place in documents where a window of indexed occurs.
+
+    Each document also has a row with sid -1, and the number of its words as start.
+    """
     blocks = max(1, -(-n // BLOCK))
-    doc = documents.select("doc_id", F.xxhash64("text").alias("h"), words(F.col("text")).alias("w"))
-    place = doc.select("doc_id", "h", "w", F.posexplode_outer("w").alias("pos", "word"))
+    doc = docs.select("doc_id", text_hash(F.col("text")).alias("h"), words(F.coalesce("text", F.lit(""))).alias("w"))
+    mark = indexed.sparkSession.range(1).select(F.array().cast("array<string>").alias("window"), F.lit(MARK).alias("prefix"), F.lit(0).alias("offset"), F.lit(-1).cast("long").alias("sid"))
+    size = F.size("window")
+    fits = (F.size("w") >= size) & (F.col("pos") >= F.col("offset")) & (F.col("pos") - F.col("offset") + size <= F.size("w"))
+    same = F.slice("w", F.greatest(F.col("pos") - F.col("offset") + 1, F.lit(1)), size) == F.col("window")
     found = []
     for b in range(blocks):
         block = indexed if blocks == 1 else indexed.where(F.pmod(F.xxhash64("window"), F.lit(blocks)) == b)
-        size = F.size("window")
-        fits = (F.size("w") >= size) & (F.col("pos") >= F.col("offset")) & (F.col("pos") - F.col("offset") + size <= F.size("w"))
-        same = F.slice("w", F.greatest(F.col("pos") - F.col("offset") + 1, F.lit(1)), size) == F.col("window")
-        hit = place.join(F.broadcast(block), (F.col("word") == F.col("prefix")) & fits & same)
-        found.append(hit.select("doc_id", "h", (F.col("pos") - F.col("offset")).alias("start"), F.size("window").alias("len"), F.xxhash64("window").alias("wid")))
+        said = F.array_append("w", MARK) if b == 0 else F.col("w")
+        place = doc.select("doc_id", "h", "w", F.posexplode(said).alias("pos", "word"))
+        block = block.select("window", "prefix", "offset", "sid")
+        hit = place.join(F.broadcast(block.unionByName(mark) if b == 0 else block), (F.col("word") == F.col("prefix")) & fits & same)
+        found.append(hit.select("doc_id", "h", (F.col("pos") - F.col("offset")).alias("start"), size.alias("len"), "sid"))
     return reduce(DataFrame.unionByName, found)
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """A row for each row of documents: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    return by_text(documents, benchmark, size).drop("h")
+def item_sets(wins: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """window, sid and sid, items: windows that the same items have share a number."""
+    of = table(wins.groupBy("window").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items")))
+    sets = table(of.select("items").distinct().withColumn("sid", F.monotonically_increasing_id()))  # numbers are given once, by writing them
+    return of.join(sets, "items").select("window", "sid"), sets
+
 
+def items_of(hits: DataFrame, sets: DataFrame) -> DataFrame:
+    """doc_id, h, n_items and items_sha256 of each text with hits."""
+    had = table(hits.groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("sid")).alias("sids")))
+    unions = had.groupBy("sids").agg(F.count(F.lit(1)).alias("n"))
+    items = F.sort_array(F.collect_set("item"))
+    named = unions.select("sids", "n", F.explode("sids").alias("sid")).join(small(sets, sets.count()), "sid").select("sids", "n", F.explode("items").alias("item"))
+    named = named.groupBy("sids", "n").agg(items.alias("items"))
+    named = table(named.select("sids", "n", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256")))
+    return with_known(had, named, ["sids"], "n").select("doc_id", "h", "n_items", "items_sha256")
 
-def by_text(documents: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
-    """contamination with h (of the text)."""
+
+def by_text(docs: DataFrame, benchmark: DataFrame, size: int) -> DataFrame:
+    """contamination with h (of the text) and whole: whether a window of full size occurs."""
     wins = table(windows(benchmark, size))
-    indexed = table(by_rarity(wins, documents))
-    hits = table(occurrences(documents, indexed, indexed.count()).distinct())
+    numbered, sets = item_sets(wins)
+    indexed = table(by_rarity(wins, docs).join(numbered, "window"))
+    found = table(occurrences(docs, indexed, indexed.count()))
+    hits = table(found.where("sid >= 0").distinct())
     # how many words no earlier hit of the text has covered
     reach = Window.partitionBy("doc_id", "h").orderBy("start", "len").rowsBetween(Window.unboundedPreceding, -1)
     until = F.coalesce(F.max(F.col("start") + F.col("len")).over(reach), F.lit(0))
     fresh = F.greatest(F.lit(0), F.col("start") + F.col("len") - F.greatest("start", until))
-    covered = hits.select("doc_id", "h", "start", "len").distinct().withColumn("fresh", fresh).groupBy("doc_id", "h").agg(F.sum("fresh").cast("long").alias("n_hit"))
-    named = wins.select(F.xxhash64("window").alias("wid"), F.col("item_id").cast("string").alias("item")).distinct()
-    # items of a text are bounded by the benchmark, not by the documents
-    items = hits.select("doc_id", "h", "wid").distinct().join(named, "wid").groupBy("doc_id", "h").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    items = items.select(F.col("doc_id").alias("i_id"), F.col("h").alias("i_h"), "items")
-    told = covered.join(items, F.col("doc_id").eqNullSafe(F.col("i_id")) & (F.col("h") == F.col("i_h")), "left")
-    told = told.select(F.col("doc_id").alias("id"), F.col("h").alias("hh"), "n_hit", "items")
-    n_words = F.greatest(F.size(words(F.coalesce("text", F.lit("")))), F.lit(0)).cast("long")
-    out = documents.select("doc_id", F.xxhash64("text").alias("h"), n_words.alias("n_words"))
-    out = out.join(told, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("hh")), "left")
-    n_hit, listed = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
+    covered = hits.select("doc_id", "h", "start", "len").distinct().withColumn("fresh", fresh)
+    covered = covered.groupBy("doc_id", "h").agg(F.sum("fresh").cast("long").alias("n_hit"), F.max("len").alias("longest"))
+    named = items_of(hits, sets).select(F.col("doc_id").alias("i_id"), F.col("h").alias("i_h"), "n_items", "items_sha256")
+    told = covered.join(named, F.col("doc_id").eqNullSafe(F.col("i_id")) & (F.col("h") == F.col("i_h")))
+    told = table(told.select(F.col("doc_id").alias("id"), F.col("h").alias("hh"), "n_hit", "longest", "n_items", "items_sha256"))
+    out = found.where("sid < 0").select("doc_id", "h", F.col("start").cast("long").alias("n_words"))
+    out = out.join(small(told, told.count()), F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("h") == F.col("hh")), "left")
+    n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
         "doc_id",
         "h",
         "n_words",
         n_hit.alias("n_hit"),
-        F.size(listed).cast("long").alias("n_items"),
-        F.sha2(F.array_join(listed, ",").cast("binary"), 256).alias("items_sha256"),
+        F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
+        F.coalesce("items_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("items_sha256"),
         ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        F.coalesce(F.col("longest") >= size, F.lit(False)).alias("whole"),
     )
 
 
-def drop_contaminated(documents: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
-    """documents without contaminated ones; all columns kept. Of rows that share a doc_id or have none, those with a contaminated text go."""
-    gone = table(by_text(documents, benchmark, size).where("contaminated").select("doc_id", "h").distinct())
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
+    """A row for each row of docs: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+    return by_text(docs, benchmark, size).drop("h", "whole")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, size: int = SIZE) -> DataFrame:
+    """docs without those that hold a window of full size or are `contaminated` by shorter items; all columns kept.
+
+    Of rows that share a doc_id or have none, those with such a text go.
+    """
+    gone = table(by_text(docs, benchmark, size).where("whole or contaminated").select("doc_id", "h").distinct())
     mark = small(gone, gone.count()).alias("g")
-    return documents.alias("d").join(mark, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.xxhash64("d.text") == F.col("g.h")), "left_anti")
+    return docs.alias("d").join(mark, F.col("d.doc_id").eqNullSafe(F.col("g.doc_id")) & (text_hash(F.col("d.text")) == F.col("g.h")), "left_anti")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contamination(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 ORACLE = {
