@@ -15,12 +15,17 @@ cases and closer ones nearly always. This is an estimate: a pair between 0.6 and
 
 `drop_near_copies` with longer fingerprints takes them for candidates only: a link counts if the Jaccard similarity of the sets of
 shingles is SIMILAR or more. Fingerprints are of the sets there, so repeats have no weight, and equal sets are compared once. A
-first search passes on a forest of near candidates; a second one passes on all candidates that the links found so far leave in
-different components, so no candidate stays unverified but those that would join what is joined. Shingles are compared as XXH64.
+first search passes on a forest of near candidates, which are verified by a join with the sets. A second one names the members of
+upper nodes that have a candidate in another component still, and only their sets travel, to the tasks of those nodes; candidates
+are verified there, nearest first, and those whose components have met by then are passed over. So no candidate stays unverified
+but those that would join what is joined, and no list of pairs is made. Shingles are compared as XXH64.
+
+Upper nodes with more members than a task should hold are cut into blocks by a hash, and each two blocks meet in a task of their
+own: what a task holds is bounded, and no pair is lost.
 
 Defined results: null and empty text have no words and fingerprint zero; equal fingerprints are linked; texts without words are
 near copies of each other; repeated rows count as rows; a null doc_id never names a component unless all are null. Columns other
-than doc_id and text are ignored.
+than doc_id and text are ignored, whatever their names, and kept by `drop_near_copies`.
 """
 
 from __future__ import annotations
@@ -36,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import components
-from .util import arrow_rows, id_type, runs, small, table
+from .util import documents, id_type, runs, small, table, with_known
 
 SEED = 42
 FANOUT = 8
@@ -44,6 +49,10 @@ FANOUT = 8
 FRONTIER = 1 << 21
 #: Rows that a task collects before it searches; a larger group is taken as a whole.
 COLLECTED = 1 << 17
+#: Members of an upper node, and shingles of its members' sets, that a task takes as one block.
+BLOCK, SET_BLOCK = 1 << 17, 1 << 22
+#: One member in so many is counted to tell which upper nodes are larger than a block.
+COUNTED = 16
 #: Members that an upper node should have on average at most, if blocks are exact and if bits are sampled.
 CROWD, SAMPLED_CROWD = 256, 16
 #: Share of bits in which texts of Jaccard similarity 0.8 differ: the angle of their shingle vectors over pi.
@@ -109,7 +118,6 @@ def names(words: int) -> list[str]:
 
 def hash_table(df: DataFrame, of: Callable[[bytes], list[int]], columns: list[str]) -> DataFrame:
     """doc_id and what of() makes of each row's text, a long for each column."""
-    arrow_rows(df.sparkSession)
     rows = df.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("body"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,75 +267,229 @@ class GrayIndex:
             self.label = unite(self.label, a, b)
         return self.label
 
-    def candidates(self, radius: int, size: np.ndarray, owner: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs whose sets' sizes allow for SIMILAR: all between different owners, or a forest of near ones if there are none yet."""
-        self.label = np.arange(len(self.codes)) if owner is None else np.unique(owner, return_inverse=True)[1]
+    def candidates(self, radius: int, size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """A forest of pairs whose sets' sizes allow for SIMILAR, nearest ones first."""
+        self.label = np.arange(len(self.codes))
         for a, b, d in self.near(radius):
-            go = SIMILAR[1] * np.minimum(size[a], size[b]) >= SIMILAR[0] * np.maximum(size[a], size[b])
-            go &= self.label[a] != self.label[b]
-            a, b = a[go], b[go]
-            if owner is None:
-                self.label, go = nearest_first(self.label, a, b, d[go])
-                a, b = a[go], b[go]
-            yield a, b
+            go = alike(size[a], size[b]) & (self.label[a] != self.label[b])
+            self.label, go_on = nearest_first(self.label, a[go], b[go], d[go])
+            yield a[go][go_on], b[go][go_on]
+
+    def between(self, radius: int, size: np.ndarray, owner: np.ndarray, first: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Pairs of different owners whose sets' sizes allow for SIMILAR; first() tells which ones have their first node in common here."""
+        _, at, of = np.unique(owner, return_index=True, return_inverse=True)
+        self.label = at[of]
+        for a, b, d in self.near(radius):
+            go = alike(size[a], size[b]) & (self.label[a] != self.label[b])
+            a, b, d = a[go], b[go], d[go]
+            go = first(a, b)
+            yield a[go], b[go], d[go]
 
 
-def links(found: DataFrame, n: int, radius: int, words: int = 1) -> DataFrame:
-    """A spanning forest (a, b) of the links of distinct fingerprints found(id, f0, ...).
+def alike(m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Whether sets of these sizes can have the similarity SIMILAR."""
+    return SIMILAR[1] * np.minimum(m, n) >= SIMILAR[0] * np.maximum(m, n)
 
-    If found has m, the size of each id's set, these are candidates of SIMILAR instead: a forest of near ones or, if found has c,
-    the component of each id, all between different components.
-    """
-    spark = found.sparkSession
+
+GROUP = ("t", "key", "part")
+
+
+def in_blocks(rows: DataFrame, crowded: DataFrame | None) -> DataFrame:
+    """rows(id, *GROUP of which part is 0) with members of crowded groups (*GROUP, blocks) sent to the tasks of their block and each other."""
+    if crowded is None or not (n := crowded.count()):
+        return rows
+    own = F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks"))
+    pair = lambda k: F.shiftleft("part", 32) + F.least(k, own) * F.col("blocks") + F.greatest(k, own) + 1
+    pairs = F.transform(F.filter(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1), lambda k: k != own), pair)
+    every = F.explode(F.when(F.col("blocks") > 1, pairs).otherwise(F.array("part"))).alias("part_")
+    told = rows.join(small(crowded, n), list(GROUP), "left").select(*rows.columns, every)
+    return told.select(*[F.col("part_").alias("part") if c == "part" else c for c in rows.columns])
+
+
+def members(found: DataFrame, n: int, radius: int, words: int, more: list[str]) -> DataFrame:
+    """found(id, f0, ..., more) as members of upper nodes: *GROUP, id, f0, ..., more."""
     chosen, fs = masks(n, radius, words), names(words)
     signed = lambda m: F.lit(m - (1 << 64) if m >> 63 else m).cast("long")
     parts_of = lambda m: [F.col(f).bitwiseAND(signed(x)) for f, x in zip(fs, m)]
     # a hash of several words' bits may bring strangers together; the search tells them apart
     keys = [parts_of(m)[0] if words == 1 else F.xxhash64(*parts_of(m)) for m in chosen]
     nodes = F.posexplode(F.array(*keys)).alias("t", "key")
-    # tasks get some COLLECTED rows each
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), n * len(chosen) // (COLLECTED * 4))
-    more_of = [c for c in ("m", "c") if c in found.columns]
-    dealt = found.select("id", *fs, *more_of, nodes).select("t", "key", "id", *fs, *more_of).repartition(parts, "t", "key").sortWithinPartitions("t", "key")
-
-    def searched(t: np.ndarray, key: np.ndarray, ids: np.ndarray, *rest: np.ndarray) -> pa.RecordBatch:
-        group = np.cumsum(np.concatenate([[0], (t[1:] != t[:-1]) | (key[1:] != key[:-1])]))
-        more = np.bincount(group)[group] > 1
-        group, ids, codes = group[more], ids[more], np.stack([f[more].view(np.uint64) for f in rest[:words]], axis=1)
-        if not len(codes):
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["a", "b"])
-        order = in_gray_order(codes, group)
-        codes, group, ids = codes[order], group[order], ids[order]
-        if more_of:
-            size, *owner = (x[more][order] for x in rest[words:])
-            pairs = list(GrayIndex(codes, group).candidates(radius, size, owner[0] if owner else None))
-            a, b = (ids[np.concatenate(x)] for x in zip(*pairs))
-            return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
-        label = GrayIndex(codes, group).link(radius)
-        linked = label != np.arange(len(label))
-        return pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[label[linked]])], names=["a", "b"])
+    rows = found.select("id", *fs, *more, nodes).select(F.col("t").cast("long").alias("t"), "key", F.lit(0).cast("long").alias("part"), "id", *fs, *more)
+    crowded = None
+    if n > BLOCK:
+        counts = rows.where(F.pmod(F.xxhash64("id", F.lit("count")), F.lit(COUNTED)) == 0).groupBy(*GROUP).agg(F.count(F.lit(1)).alias("k")).where(F.col("k") * COUNTED > BLOCK)
+        crowded = table(counts.select(*GROUP, F.ceil(F.col("k") * COUNTED / BLOCK).alias("blocks")))
+    return in_blocks(rows, crowded)
 
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, ...]] = []
+
+def by_group(search: Callable, columns: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A mapInArrow function that calls search(group numbers, arrays) for runs of whole groups of COLLECTED rows or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         rows = 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(tuple(np.asarray(c) for c in batch.columns))
+            held.append(batch)
             rows += batch.num_rows
             if rows < COLLECTED:
                 continue
-            t, key, *rest = (np.concatenate(x) for x in zip(*held))
-            last = np.flatnonzero((t != t[-1]) | (key != key[-1]))
+            every = pa.concat_batches(held)
+            heads = [np.asarray(every.column(k)) for k in range(3)]
+            last = np.flatnonzero(np.logical_or.reduce([h != h[-1] for h in heads]))
             cut = int(last[-1]) + 1 if len(last) else 0  # the last group may go on
             if cut:
-                yield searched(t[:cut], key[:cut], *(x[:cut] for x in rest))
-            held, rows = [(t[cut:], key[cut:], *(x[cut:] for x in rest))], len(t) - cut
+                yield called(every.slice(0, cut))
+            held, rows = [every.slice(cut)], len(heads[0]) - cut
         if rows:
-            yield searched(*(np.concatenate(x) for x in zip(*held)))
+            yield called(pa.concat_batches(held))
+
+    def called(every: pa.RecordBatch) -> pa.RecordBatch:
+        heads = [np.asarray(every.column(k)) for k in range(3)]
+        group = np.cumsum(np.concatenate([[0], np.logical_or.reduce([h[1:] != h[:-1] for h in heads])]))
+        return search(heads, group, [np.asarray(every.column(k)) for k in range(3, columns)])
+
+    return run
+
+
+def dealt(rows: DataFrame, n_rows: int) -> DataFrame:
+    """rows dealt by their group, some COLLECTED rows to a task, and in order of groups."""
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_rows // (COLLECTED * 4))
+    return rows.repartition(parts, *GROUP).sortWithinPartitions(*GROUP)
+
 
-    arrow_rows(spark, 1 << 15)
-    return dealt.mapInArrow(search, "a long, b long").distinct()
+def pairs_batch(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b), pa.int64()), pa.array(np.minimum(a, b), pa.int64())], names=["a", "b"])
+
+
+def links(found: DataFrame, n: int, radius: int, words: int = 1) -> DataFrame:
+    """A spanning forest (a, b) of the links of distinct fingerprints found(id, f0, ...).
+
+    If found has m, the size of each id's set, it is a forest of near candidates of SIMILAR instead.
+    """
+    more = ["m"] if "m" in found.columns else []
+    rows = members(found, n, radius, words, more)
+
+    def searched(_, group: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+        ids, *rest = columns
+        several = np.bincount(group)[group] > 1
+        group, ids, codes = group[several], ids[several], np.stack([f[several].view(np.uint64) for f in rest[:words]], axis=1)
+        if not len(codes):
+            return pairs_batch(ids, ids)
+        order = in_gray_order(codes, group)
+        codes, group, ids = codes[order], group[order], ids[order]
+        if more:
+            a, b = (np.concatenate(x) for x in zip(*GrayIndex(codes, group).candidates(radius, rest[words][several][order])))
+            return pairs_batch(ids[a], ids[b])
+        label = GrayIndex(codes, group).link(radius)
+        linked = np.flatnonzero(label != np.arange(len(label)))
+        return pairs_batch(ids[linked], ids[label[linked]])
+
+    return dealt(rows, n * len(masks(n, radius, words))).mapInArrow(by_group(searched, 4 + words + len(more)), "a long, b long").distinct()
+
+
+def unjoined(found: DataFrame, n: int, radius: int, words: int) -> DataFrame:
+    """*GROUP, id, m of members that have a candidate of another component c in their node; found(id, f0, ..., m, c).
+
+    A pair that several nodes hold is looked at in the first of them only.
+    """
+    chosen = np.array(masks(n, radius, words), np.uint64)
+
+    def searched(heads: list[np.ndarray], group: np.ndarray, columns: list[np.ndarray]) -> pa.RecordBatch:
+        ids, *rest = columns
+        several = np.flatnonzero(np.bincount(group)[group] > 1)
+        codes = np.stack([f[several].view(np.uint64) for f in rest[:words]], axis=1)
+        order = in_gray_order(codes, group[several]) if len(codes) else several
+        several = several[order]
+        codes, size, owner = codes[order], rest[words][several], rest[words + 1][several]
+        met = np.zeros(len(codes), bool)
+        if len(codes):
+            for a, b, _ in GrayIndex(codes, group[several]).between(radius, size, owner, first_here(chosen, codes, heads[0][several])):
+                met[a] = met[b] = True
+        at = several[met]
+        return pa.RecordBatch.from_arrays([pa.array(x[at]) for x in (*heads, ids, rest[words])], names=[*GROUP, "id", "m"])
+
+    rows = dealt(members(found, n, radius, words, ["m", "c"]), n * len(chosen))
+    return rows.mapInArrow(by_group(searched, 6 + words), "t long, key long, part long, id long, m long")
+
+
+def first_here(chosen: np.ndarray, codes: np.ndarray, t: np.ndarray) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Of pairs of codes with the same t, those that agree under no mask before mask t."""
+
+    def told(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        apart, before = codes[a] ^ codes[b], np.zeros(len(a), bool)
+        for k in range(len(chosen)):
+            before |= (t[a] > k) & ~(apart & chosen[k]).any(axis=1)
+        return ~before
+
+    return told
+
+
+def verified_here(flagged: DataFrame, found: DataFrame, sets: DataFrame, n: int, radius: int, words: int) -> DataFrame:
+    """A forest (a, b) of links between different components c of found(id, f0, ..., m, c), of which flagged has the members.
+
+    sets(id, s) has the sets of shingles; those of a node, or of two blocks of it, are in one task.
+    """
+    chosen, fs = np.array(masks(n, radius, words), np.uint64), names(words)
+    large = table(flagged.groupBy(*GROUP).agg(F.sum("m").alias("k")).where(F.col("k") > SET_BLOCK).select(*GROUP, F.ceil(F.col("k") / SET_BLOCK).alias("blocks")))
+    rows = in_blocks(flagged.select(*GROUP, "id"), large).join(found.select("id", *fs, "m", "c"), "id").join(sets, "id")
+
+    def searched(heads: list[np.ndarray], rest: list[np.ndarray], shingles_of: list[np.ndarray]) -> pa.RecordBatch:
+        codes, group = np.stack([f.view(np.uint64) for f in rest[1 : 1 + words]], axis=1), np.zeros(len(heads[0]), np.int64)
+        order = in_gray_order(codes, group)
+        codes, (ids, size, owner) = codes[order], (rest[k][order] for k in (0, 1 + words, 2 + words))
+        made: dict[int, set] = {}
+        above: dict[int, int] = {}
+
+        def shingles_at(i: int) -> set:
+            if i not in made:
+                made[i] = set(shingles_of[order[i]].tolist())
+            return made[i]
+
+        def top(i: int) -> int:
+            while (j := above.get(i, i)) != i:
+                above[i] = i = above.get(j, j)
+            return i
+
+        index, out = GrayIndex(codes, group), []
+        for a, b, d in index.between(radius, size, owner, first_here(chosen, codes, heads[0][order])):
+            label = index.label
+            for k in np.argsort(d, kind="stable"):
+                i, j = int(a[k]), int(b[k])
+                if (x := top(int(label[i]))) == (y := top(int(label[j]))):
+                    continue
+                both = len(shingles_at(i) & shingles_at(j))
+                if SIMILAR[1] * both >= SIMILAR[0] * (size[i] + size[j] - both):
+                    above[max(x, y)] = min(x, y)
+                    out.append((i, j))
+            index.label = np.array([top(int(x)) for x in label])
+        i, j = np.array(out, np.int64).reshape(-1, 2).T
+        return pairs_batch(ids[i], ids[j])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+        for batch in batches:
+            heads = [np.asarray(batch.column(k)) for k in range(3)]
+            cuts = np.flatnonzero(np.logical_or.reduce([h[1:] != h[:-1] for h in heads])) + 1 if batch.num_rows else []
+            for lo, hi in zip([0, *cuts], [*cuts, batch.num_rows]):
+                if hi == lo:
+                    continue
+                head = tuple(int(h[lo]) for h in heads)
+                if head != at and held:
+                    yield group(held)
+                    held = []
+                at = head
+                held.append(batch.slice(lo, hi - lo))
+        if held:
+            yield group(held)
+
+    def group(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        columns = [np.concatenate([np.asarray(x.column(k)) for x in held]) for k in range(6 + words)]
+        return searched(columns[:3], columns[3:], [v.values.to_numpy() for x in held for v in x.column(6 + words)])
+
+    rows = rows.select(*GROUP, "id", *fs, "m", "c", "s")
+    return rows.repartition(*GROUP).sortWithinPartitions(*GROUP).mapInArrow(run, "a long, b long").distinct()
 
 
 def near_copies(df: DataFrame, size: int = 5, radius: int = 51, words: int = 4) -> DataFrame:
@@ -341,18 +503,16 @@ def near_copies(df: DataFrame, size: int = 5, radius: int = 51, words: int = 4)
     # ids of long fingerprints are given once, by writing them
     distinct = table(distinct.withColumn("id", F.col("f0") if words == 1 else F.monotonically_increasing_id()))
     reached = components(links(distinct.select("id", *fs), distinct.count(), radius, words))
-    nodes = distinct.join(reached, distinct["id"] == reached["node"], "left").select(*fs, "first", "n", F.coalesce("component", "id").alias("component"))
-    named = nodes.groupBy("component").agg(F.min("first").alias("component_id"), F.sum("n").alias("component_size"))
-    nodes = nodes.join(named, "component").select(*fs, "component_id", "component_size")
+    nodes = table(distinct.join(reached, distinct["id"] == reached["node"], "left").select(*fs, "first", "n", F.coalesce("component", "id").alias("component")))
+    named = table(nodes.groupBy("component").agg(F.min("first").alias("component_id"), F.sum("n").alias("component_size"), F.count(F.lit(1)).alias("w")))
+    nodes = table(with_known(nodes, named, ["component"], "w").select(*fs, "n", "component_id", "component_size"))
     shown = F.concat(*[F.lower(F.lpad(F.hex(f), 16, "0")) for f in fs])
-    return found.join(nodes, fs).select("doc_id", shown.alias("fingerprint"), "component_id", "component_size")
+    return with_known(found, nodes, fs, "n").select("doc_id", shown.alias("fingerprint"), "component_id", "component_size")
 
 
-def verified(pairs: DataFrame, df: DataFrame, first: DataFrame, size: int) -> DataFrame:
-    """The pairs (a, b) of ids whose sets of shingles have the similarity SIMILAR; first(id, doc_id, h) has a text of each id."""
-    spark = df.sparkSession
-    sought = table(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    sought = sought.join(first, "id").select("id", F.col("doc_id").alias("i"), "h")
+def sets_of(sought: DataFrame, df: DataFrame, size: int) -> DataFrame:
+    """id, s: the set of shingles of each id of sought(id, doc_id, h), which has a text of each."""
+    sought = table(sought.select("id", F.col("doc_id").alias("i"), "h"))
     texts = df.select("doc_id", F.xxhash64("text").alias("x"), F.coalesce("text", F.lit("")).cast("binary").alias("body"))
     texts = texts.join(small(sought, sought.count()), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("x") == F.col("h"))).select("id", "body")
 
@@ -362,8 +522,12 @@ def verified(pairs: DataFrame, df: DataFrame, first: DataFrame, size: int) -> Da
                 made = [shingle_set(x.as_py(), size).view(np.int64) for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made, pa.list_(pa.int64()))], names=["id", "s"])
 
-    arrow_rows(spark)
-    sets = table(texts.mapInArrow(hashed, "id long, s array<long>").dropDuplicates(["id"]))
+    return table(texts.mapInArrow(hashed, "id long, s array<long>").dropDuplicates(["id"]))
+
+
+def verified(pairs: DataFrame, df: DataFrame, first: DataFrame, size: int) -> DataFrame:
+    """The pairs (a, b) of ids whose sets of shingles have the similarity SIMILAR; first(id, doc_id, h) has a text of each id."""
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(first, "id"), df, size)
     few = (sets.agg(F.sum(F.size("s"))).first()[0] or 0) <= BROADCAST_SHINGLES
     side = lambda k: (F.broadcast if few else lambda x: x)(sets.select(F.col("id").alias(k), F.col("s").alias(f"s{k}")))
     both = F.size(F.array_intersect("sa", "sb"))
@@ -381,19 +545,20 @@ def similar(df: DataFrame, size: int, radius: int, words: int) -> DataFrame:
     fs = names(words)
     key = [*fs, "m", "s0", "s1"]
     found = table(hash_table(keyed(df), lambda text: set_row(text, size, words), key))
-    nodes = table(found.groupBy(*key).agg(F.min("doc_id").alias("first")).withColumn("id", F.monotonically_increasing_id()))  # ids are given once, by writing them
+    # ids are given once, by writing them
+    nodes = table(found.groupBy(*key).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()))
     first, n = nodes.select("id", "first.doc_id", "first.h"), nodes.count()
-    tried = table(links(nodes.select("id", *fs, "m"), n, radius, words))
-    reached = components(verified(tried, df, first, size))
-    owned = table(nodes.join(reached, nodes["id"] == reached["node"], "left").select(*nodes.columns, F.coalesce("component", "id").alias("c")))
-    rest = table(links(owned.select("id", *fs, "m", "c"), n, radius, words))
-    more = table(verified(rest, df, first, size))
+    owned = lambda reached: table(nodes.join(reached, nodes["id"] == reached["node"], "left").select(*nodes.columns, F.coalesce("component", "id").alias("c")))
+    reached = components(verified(table(links(nodes.select("id", *fs, "m"), n, radius, words)), df, first, size))
+    told = owned(reached)
+    flagged = table(unjoined(told.select("id", *fs, "m", "c"), n, radius, words))
+    sets = sets_of(flagged.select("id").distinct().join(first, "id"), df, size)
+    more = table(verified_here(flagged, told, sets, n, radius, words))
     if more.count():
-        reached = components(reached.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
-        owned = table(nodes.join(reached, nodes["id"] == reached["node"], "left").select(*nodes.columns, F.coalesce("component", "id").alias("c")))
-    kept = owned.groupBy("c").agg(F.min("first").alias("kept"))
-    owned = owned.join(kept, "c").select(*key, "kept")
-    return found.join(owned, key).select("doc_id", F.col("kept").alias("component_id"))
+        told = owned(components(reached.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more)))
+    kept = table(told.groupBy("c").agg(F.min("first").alias("kept"), F.count(F.lit(1)).alias("w")))
+    told = table(with_known(told, kept, ["c"], "w").select(*key, "n", "kept"))
+    return with_known(found, told, key, "n").select("doc_id", F.col("kept").alias("component_id"))
 
 
 def drop_near_copies(df: DataFrame, size: int = 5, radius: int = 51, words: int = 4) -> DataFrame:
@@ -405,11 +570,11 @@ def drop_near_copies(df: DataFrame, size: int = 5, radius: int = 51, words: int
     gone = table(found.where("doc_id <> component_id").select(F.col("doc_id.doc_id").alias("i"), F.col("doc_id.h").alias("h")).distinct())
     mark = small(gone, gone.count()).alias("g")
     same = F.col("d.doc_id").eqNullSafe(F.col("g.i")) & (F.xxhash64("d.text") == F.col("g.h"))
-    return df.alias("d").join(mark, same, "left_anti").select(*df.columns)
+    return df.alias("d").join(mark, same, "left_anti").select(*[F.col(f"d.`{c}`") for c in df.columns])
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_copies(spark.read.parquet(f"{sf_dir}/documents.parquet"), size=4, radius=4, words=1)
+    return near_copies(documents(spark, sf_dir), size=4, radius=4, words=1)
 
 
 ORACLE: dict[str, str] = {}
