@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import arrow_rows, id_type, raw, runs, small, table
+from .util import documents, id_type, raw, runs, small, table, with_known
 
 MODULI = (2**31 - 1, 2**31 - 19)
 BASES = (911_382_323, 972_663_749)
@@ -75,7 +75,6 @@ def fingerprints(data: np.ndarray, ends: np.ndarray, modulus: int, base: int, ch
 
 def fingerprint_table(df: DataFrame, moduli: tuple[int, int] = MODULI) -> DataFrame:
     """doc_id, row (tells rows apart once written), sha, n_bytes and fp of each row."""
-    arrow_rows(df.sparkSession)
     norm = normalised(F.col("text"))
     rows = df.select("doc_id", norm.cast("binary").alias("body")).select("doc_id", F.monotonically_increasing_id().alias("row"), F.sha2("body", 256).alias("sha"), "body")
 
@@ -90,12 +89,12 @@ def fingerprint_table(df: DataFrame, moduli: tuple[int, int] = MODULI) -> DataFr
     return rows.mapInArrow(hashed, f"doc_id {id_type(df)}, row long, sha string, n_bytes long, fp long")
 
 
-def unequal(df: DataFrame, classes: DataFrame, n_classes: int) -> DataFrame:
-    """Of classes (sha, fp, n_bytes), those fp and n_bytes under which different texts meet, by comparing chunks."""
+def unequal(df: DataFrame, classes: DataFrame) -> DataFrame:
+    """Of classes (sha, fp, n_bytes, n), those fp and n_bytes under which different texts meet, by comparing chunks."""
     body = normalised(F.col("text"))
     texts = df.select(body.alias("body")).withColumn("sha", F.sha2(F.col("body").cast("binary"), 256))
     cut = F.expr(f"sequence(0, cast((greatest(char_length(body), 1) - 1) div {COMPARED} as int))")
-    chunks = texts.join(small(classes, n_classes), "sha").select("fp", "n_bytes", "body", F.explode(cut).alias("k"))
+    chunks = with_known(texts, classes, ["sha"], "n").where("fp is not null").select("fp", "n_bytes", "body", F.explode(cut).alias("k"))
     chunks = chunks.select("fp", "n_bytes", "k", F.expr(f"substring(body, k * {COMPARED} + 1, {COMPARED})").alias("piece"))
     ends = chunks.groupBy("fp", "n_bytes", "k").agg(F.min("piece").alias("least"), F.max("piece").alias("most"))
     return ends.where("least <> most").select("fp", "n_bytes").distinct()
@@ -105,17 +104,20 @@ def copies(df: DataFrame, moduli: tuple[int, int] = MODULI) -> DataFrame:
     """A row for each row of df: doc_id, keep_id, group_size, kept, text_sha256."""
     found = table(fingerprint_table(df, moduli))
     order = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("id"), "row")
-    more = found.groupBy("fp", "n_bytes").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp", "n_bytes")
-    classes = table(found.join(more, ["fp", "n_bytes"], "left_semi").groupBy("fp", "n_bytes", "sha").agg(F.count(F.lit(1)).alias("n")).select("sha", "fp", "n_bytes"))
-    wrong = table(unequal(df, classes, classes.count()))
+    # a row for each different text, or each two texts that SHA-256 takes for one
+    per = table(found.groupBy("fp", "n_bytes", "sha").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n")))
+    several = per.groupBy("fp", "n_bytes").agg(F.sum("n").alias("size")).where("size > 1").select("fp", "n_bytes")
+    classes = table(per.join(several, ["fp", "n_bytes"], "left_semi").select("sha", "fp", "n_bytes", "n"))
+    wrong = table(unequal(df, classes))
     n_wrong = wrong.count()
-    found = found.withColumn("part", F.lit(""))
+    found, per = found.withColumn("part", F.lit("")), per.withColumn("part", F.lit(""))
     if n_wrong:
         bad = small(wrong.withColumn("bad", F.lit(True)), n_wrong)
-        found = found.join(bad, ["fp", "n_bytes"], "left").withColumn("part", F.when(F.col("bad"), F.col("sha")).otherwise("")).drop("bad")
+        split = lambda x: x.join(bad, ["fp", "n_bytes"], "left").withColumn("part", F.when(F.col("bad"), F.col("sha")).otherwise("")).drop("bad")
+        found, per = split(found), split(per)
     key = ["fp", "n_bytes", "part"]
-    groups = found.groupBy(*key).agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    out = found.join(groups, key, "left")
+    groups = table(per.groupBy(*key).agg(F.min("first").alias("first"), F.sum("n").alias("size")).where("size > 1"))
+    out = with_known(found, groups, key, "size")
     return out.select(
         "doc_id",
         F.when(F.col("size").isNull(), F.col("doc_id")).otherwise(F.col("first.id")).alias("keep_id"),
@@ -146,7 +148,7 @@ def drop_copies(df: DataFrame) -> DataFrame:
 
 
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return copies(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return copies(documents(spark, sf_dir))
 
 
 ORACLE = {
