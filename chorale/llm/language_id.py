@@ -4,11 +4,15 @@ Features are relative frequencies of byte trigrams of the lower-cased text, hash
 weights over a text's trigrams: whole texts are scored in one pass of bounded memory. Families are told apart by one-versus-rest
 machines, languages of a family by a machine for each pair of them, which vote.
 
-The machines are fitted on the driver to a sample of at most SAMPLE texts, dealt evenly to the languages and chosen by a hash of
-doc_id from rows with a language whose crc32(doc_id as text) mod 4 isn't 2. Only their feature vectors, of fixed length, get there.
+The machines are fitted on the driver to a sample of at most SAMPLE texts, dealt evenly to the LANGS most frequent languages and
+chosen by a hash of doc_id from rows with a language whose crc32(doc_id as text) mod 4 isn't 2. Only their feature vectors, of
+fixed length, get there. Both bounds hold for learning alone: every text is predicted.
 
 Defined results: `und` with score 0 for a null text, a text without a letter, or when there is nothing to learn from; a lang that
-FAMILIES doesn't name is a family of its own. score is the share of certainty in family and votes, 0 to 1.
+FAMILIES doesn't name is a family of its own. score is the share of certainty in family and votes, 0 to 1. On ties the first
+language in alphabetical order wins; repeated rows get the same result each. Columns named lang_pred or score are replaced, others
+are kept whatever their names. `keep_known` rejects a text that is `und` or scores below LEAST, which is what chance gives between
+two families of two languages; without anything to learn from it rejects texts without a letter only.
 """
 
 from __future__ import annotations
@@ -22,11 +26,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .util import arrow_rows, raw, runs, small, table
+from .util import documents, raw, runs, small, table
 
 DIM = 1 << 12
 #: Texts that the machines are fitted to, of all languages together.
 SAMPLE = 1200
+#: Languages that are learned at most.
+LANGS = 200
+#: Score below which `keep_known` takes a language for not told.
+LEAST = 0.25
 HELD_OUT = 2
 PIECE = 1 << 21
 #: Languages of a family, by their ISO 639-1 codes.
@@ -149,22 +157,22 @@ def held_out():
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(0)) % 4 == HELD_OUT
 
 
-def fit(df: DataFrame, sample: int = SAMPLE) -> Model:
+def fit(df: DataFrame, sample: int = SAMPLE, langs: int = LANGS) -> Model:
     """The machines for df(doc_id, text, lang)."""
     learn = df.select("doc_id", "text", "lang").where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = dict(learn.groupBy("lang").count().collect())
-    each = sample / max(len(counts), 1)
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, each / n))).otherwise(share)
-    chosen = learn.where(F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30)) < share * (1 << 30)).limit(2 * sample)
+    counts = learn.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "lang").limit(langs).collect()
+    if not counts:
+        return Model(np.zeros((0, DIM), np.float32), [])
+    each = sample / len(counts)
+    shares = df.sparkSession.createDataFrame([(r.lang, int(min(1.0, each / r.n) * (1 << 30))) for r in counts], "lang string, share long")  # langs rows at most
+    drawn = F.pmod(F.xxhash64("doc_id", F.lit("fit")), F.lit(1 << 30))
+    chosen = learn.join(F.broadcast(shares), "lang").where(drawn < F.col("share")).select("lang", "text").limit(2 * sample)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = [histogram(np.frombuffer(v.as_py(), np.uint8)).astype(np.float32).tobytes() for v in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.binary())], names=["lang", "x"])
 
-    arrow_rows(df.sparkSession)
     rows = _body(chosen).select("lang", "_body").mapInArrow(vectors, "lang string, x binary").collect()
     rows.sort(key=lambda r: (r.lang, bytes(r.x)))
     return Model(np.array([np.frombuffer(r.x, np.float32) for r in rows], np.float32).reshape(-1, DIM), [r.lang for r in rows])
@@ -172,7 +180,6 @@ def fit(df: DataFrame, sample: int = SAMPLE) -> Model:
 
 def predict(df: DataFrame, model: Model, carry: list[str] | None = None) -> DataFrame:
     """The columns to carry (all of df's but text by default) with lang_pred and score; no row moves to another task."""
-    arrow_rows(df.sparkSession)
     columns = [c for c in (df.columns if carry is None else carry) if c not in ("text", "lang_pred", "score")]
     rows = _body(df).withColumn("_letter", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))).select(*columns, "_body", "_letter")
     schema = T.StructType([*df.select(columns).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
@@ -193,16 +200,19 @@ def predict(df: DataFrame, model: Model, carry: list[str] | None = None) -> Data
     return rows.mapInArrow(told, schema)
 
 
-def keep_known(df: DataFrame) -> DataFrame:
-    """df without rows whose language can't be told (`und`); all columns kept. Texts stay in the JVM, only rejected keys are joined."""
-    told = predict(df.select("doc_id", "text", F.xxhash64("text").alias("_h")), fit(df))
-    gone = table(told.where("lang_pred = 'und'").select(F.col("doc_id").alias("_id"), "_h").distinct())
-    mark = small(gone, gone.count())
-    return df.join(mark, df["doc_id"].eqNullSafe(mark["_id"]) & (F.xxhash64(df["text"]) == mark["_h"]), "left_anti")
+def keep_known(df: DataFrame, least: float = LEAST) -> DataFrame:
+    """df without rows whose language can't be told; all columns kept. Texts stay in the JVM, only rejected keys are joined."""
+    model = fit(df)
+    if not model.langs:
+        return df.where(F.col("text").rlike(r"\p{L}"))
+    told = predict(df.select("doc_id", "text", F.xxhash64("text").alias("_h")), model)
+    gone = table(told.where((F.col("lang_pred") == "und") | (F.col("score") < least)).select(F.col("doc_id").alias("i"), F.col("_h").alias("h")).distinct())
+    mark = small(gone, gone.count()).alias("g")
+    return df.alias("d").join(mark, F.col("d.doc_id").eqNullSafe(F.col("g.i")) & (F.xxhash64("d.text") == F.col("g.h")), "left_anti")
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     return predict(docs.select("doc_id", "text"), fit(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
