@@ -1,8 +1,8 @@
 """A corpus pipeline of five stages, each an operator of chorale.llm over all that the stage before kept.
 
-Language ID drops documents without a language, exact and near deduplication keep one document of each group, decontamination
-drops documents that hold benchmark passages, and mixing gives every document that is left its place in the training order.
-Each stage is written as Parquet in the shared folder and read again as the next one's documents. SQL can express neither the
+Language ID drops documents whose language can't be told, exact and near deduplication keep one document of each group,
+decontamination drops documents that hold a whole window of a benchmark item (or are covered by shorter items to a twentieth), and
+mixing gives every document that is left its place in the training order. Each stage is written as Parquet in the shared folder and read again as the next one's documents. SQL can express neither the
 trained classifier nor SimHash, so ORACLE_SQL is None; tests hold each stage against a brute-force version.
 """
 
@@ -11,11 +11,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from chorale.llm import decontaminate, exact_dedup, language_id, mixing, simhash
-from chorale.llm.util import table
+from chorale.llm.util import documents, table
 
 
 def stage_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter; whichever language the others are in, they stay."""
+    """Rejects documents that the classifier can't tell the language of; whichever language the others are in, they stay."""
     return language_id.keep_known(docs)
 
 
@@ -46,7 +46,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
