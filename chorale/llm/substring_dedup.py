@@ -7,13 +7,17 @@ anchor, so they travel together as one stretch of text, and the anchor's hash is
 
 1. Anchors are counted over all texts. A prefix through an anchor that occurs once ends in a leaf and isn't pursued further.
 2. Stretches whose anchor recurs are dealt by it. A task sends the words of equal stretches twice at most, which is enough to
-   know that they repeat, so no large group of copies meets in one task.
-3. For each anchor the subtree of its suffixes is built, as a sorted list of suffixes with common-prefix lengths in words: its
-   internal nodes at `size` words or deeper are the maximal repeats. Suffixes below them are marked.
-4. Marks go back to the texts as intervals of words, and those words are removed.
+   know that they repeat, so no large group of copies meets in one task. Equal stretches are told by a digest of 128 bits.
+3. Partitions that were sent more than GROUP stretches get longer prefixes: suffixes are dealt again by how far they begin before
+   the anchor, in ranges half as wide, and those of a range have size - range + 1 words in common, which are their new partition.
+   This is repeated until a partition fits, or a prefix has `size` words, when equal ones are counted by aggregation.
+4. For each partition the subtree of its suffixes is built: they are sorted, neighbours give common-prefix lengths, and a stack
+   over these gives the internal nodes of `size` words or more with the suffixes below them. These nodes are the maximal repeats:
+   longest sequences that the suffixes below share, as far as their stretches go. Suffixes below them are marked.
+5. Marks go back to the texts as intervals of words, and those words are removed.
 
 The counting filter is a bitmap of FILTER_BITS bits at most; more recurring anchors are taken in several rounds, each with its
-share of anchors. A wrongly set bit costs a comparison, never a result, and comparisons are of words, not of hashes.
+share of anchors. A wrongly set bit costs a comparison, never a result.
 
 Defined results: words are [^\\x20\\x09-\\x0D]+, unchanged; null and empty texts have none; texts of fewer than `size` words keep
 all; a repeated row is another text; rows with equal doc_id are told apart by their text. Extra columns are ignored.
@@ -22,6 +26,7 @@ all; a repeated row is another text; rows with equal doc_id are told apart by th
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import id_type, runs, small, table
+from .util import documents, id_type, runs, small, table, with_known
 
 SIZE = 35
 GRAM = 8
@@ -38,8 +43,8 @@ FILTER_BITS = 1 << 27
 PIECE = 1 << 17
 #: Digests by which a task knows the stretches it has sent; after so many it starts anew.
 KNOWN = 1 << 20
-#: Stretches that a task collects before it builds their subtrees.
-COLLECTED = 1 << 15
+#: Stretches that a partition may be sent before its prefixes are lengthened.
+GROUP = 1 << 13
 
 _RNG = np.random.default_rng(20)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -74,7 +79,7 @@ class Stretches:
         width = size - gram + 1
         if n < size:
             self.key = np.zeros(0, np.int64)
-            self.text = self.first = self.n_starts = self.key
+            self.text = self.first = self.n_starts = self.ahead = self.key
             return
         up, down = _powers(len(data) + 1)
         prefix = np.append(np.uint64(0), np.cumsum(_BYTE[data] * up[: len(data)]))
@@ -93,6 +98,7 @@ class Stretches:
         new = np.flatnonzero(np.append(True, (anchor[1:] != anchor[:-1]) | (owner[begin[1:]] != owner[begin[:-1]]))) if len(begin) else np.zeros(0, np.int64)
         self.key = h[anchor[new]].view(np.int64)
         self.at = begin[new]
+        self.ahead = anchor[new] - self.at  # words from a stretch's first suffix to its anchor
         self.n_starts = np.diff(np.append(new, len(begin)))
         self.text = owner[self.at]
         self.first = self.at - (after - counts)[self.text]
@@ -142,7 +148,7 @@ def bit_filter(recurring: DataFrame, bits: int) -> np.ndarray:
 
 
 def stretches(rows: DataFrame, bitmap: np.ndarray, bits: int, share: tuple[int, int], size: int, gram: int, kind: str) -> DataFrame:
-    """Stretches whose anchor the bitmap has: doc_id, h, first, key, id (a digest of the words), n_starts and words.
+    """Stretches whose anchor the bitmap has: doc_id, h, first, key, id (a digest of the words), n_starts, ahead and words.
 
     words are null where the task has given them twice.
     """
@@ -169,92 +175,166 @@ def stretches(rows: DataFrame, bitmap: np.ndarray, bits: int, share: tuple[int,
                             bodies[k] = None
                     where = pa.array(row[text])
                     yield pa.RecordBatch.from_arrays(
-                        [part.column(0).take(where), part.column(1).take(where), pa.array(off[text] + s.first[pick]), pa.array(s.key[pick]), pa.array(ids, pa.binary()), pa.array(s.n_starts[pick]), pa.array(bodies, pa.binary())],
-                        names=["doc_id", "h", "first", "key", "id", "n_starts", "words"],
+                        [part.column(0).take(where), part.column(1).take(where), pa.array(off[text] + s.first[pick]), pa.array(s.key[pick]), pa.array(ids, pa.binary()), pa.array(s.n_starts[pick]), pa.array(s.ahead[pick]), pa.array(bodies, pa.binary())],
+                        names=["doc_id", "h", "first", "key", "id", "n_starts", "ahead", "words"],
                     )
 
-    return rows.mapInArrow(found, f"doc_id {kind}, h long, first long, key long, id binary, n_starts long, words binary")
+    return rows.mapInArrow(found, f"doc_id {kind}, h long, first long, key long, id binary, n_starts long, ahead long, words binary")
 
 
-def deep(suffixes: list[tuple[list[bytes], int]], size: int) -> list[bool]:
-    """Of suffixes (words, place), whether each lies below an internal node of their tree at size words or deeper.
+def internal_nodes(suffixes: list[list[bytes]], size: int) -> list[tuple[int, list[int]]]:
+    """Depth and suffixes below of each internal node at size words or deeper in the tree of these suffixes.
 
-    The tree is held as the sorted suffixes and the common-prefix lengths of neighbours; a neighbour that shares size words
-    makes an internal node that deep.
+    The tree is held as the sorted suffixes and the common-prefix lengths of neighbours; lengths below size count as none.
     """
-    keys = [tuple(words[at : at + size]) for words, at in suffixes]
-    order = sorted(range(len(keys)), key=keys.__getitem__)
-    out = [False] * len(keys)
-    for a, b in zip(order, order[1:]):
-        if keys[a] == keys[b]:
-            out[a] = out[b] = True
+    order = sorted(range(len(suffixes)), key=suffixes.__getitem__)
+    out: list[tuple[int, list[int]]] = []
+    stack: list[tuple[int, int]] = []  # depth and first place of nodes that are still open
+    for place in range(1, len(order) + 1):
+        depth = 0
+        if place < len(order):
+            a, b = suffixes[order[place - 1]], suffixes[order[place]]
+            if a[:size] == b[:size]:
+                depth = next((k for k in range(size, min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+        first = place - 1
+        while stack and stack[-1][0] > depth:
+            deep, first = stack.pop()
+            out.append((deep, order[first:place]))
+        if depth >= size and (not stack or stack[-1][0] < depth):
+            stack.append((depth, first))
     return out
 
 
+def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[tuple[bytes, int], list]]:
+    """For each key of rows in order (key, id, lo, n, words): its different stretches (id, lo), each with times, n and words."""
+    at, group = None, {}
+    for batch in batches:
+        for key, i, lo, n, words in zip(*(c.to_pylist() for c in batch.columns)):
+            if key != at and group:
+                yield group
+                group = {}
+            at = key
+            group.setdefault((i, lo), [0, n, words])[0] += 1
+    if group:
+        yield group
+
+
 def subtrees(dealt: DataFrame, size: int) -> DataFrame:
-    """id and mark of stretches (key, id, n_starts, words), dealt by key and in order; bit k of mark says that the window at the stretch's word k occurs elsewhere too."""
-
-    def marks(rows: list[tuple]) -> Iterator[tuple[bytes, int]]:
-        """rows: key, id, n_starts, words, of complete keys, in order."""
-        at = 0
-        while at < len(rows):
-            to = at
-            group: dict[bytes, list] = {}  # id: times, n_starts, words
-            while to < len(rows) and rows[to][0] == rows[at][0]:
-                _, i, m, w = rows[to]
-                group.setdefault(i, [0, m, w])[0] += 1
-                to += 1
-            yield from ((i, (1 << m) - 1) for i, (n, m, _) in group.items() if n > 1)  # a repeated stretch repeats each window in it
-            if len(group) > 1 and any(n == 1 for n, _, _ in group.values()):
-                split = [(i, n, m, w.split()) for i, (n, m, w) in group.items()]
-                below = iter(deep([(w, k) for _, _, m, w in split for k in range(m)], size))
-                for i, n, m, _ in split:
-                    mark = sum(next(below) << k for k in range(m))
-                    if n == 1 and mark:
-                        yield i, mark
-            at = to
+    """id and mark of stretches (key, id, lo, n, words) with suffixes from lo on; bit k of mark says that the window at the stretch's word k occurs elsewhere too."""
+
+    def marks(group: dict) -> Iterator[tuple[bytes, int]]:
+        below = {s: (1 << n) - 1 if times > 1 else 0 for s, (times, n, _) in group.items()}  # a repeated stretch repeats each window in it
+        if len(group) > 1 and not all(below.values()):
+            split = [(s, k, w[k:]) for s, (_, n, words) in group.items() for w in [words.split()] for k in range(n)]
+            for _, leaves in internal_nodes([w for _, _, w in split], size):
+                for leaf in leaves:
+                    s, k, _ = split[leaf]
+                    below[s] |= 1 << k
+        yield from ((i, mark << lo) for (i, lo), mark in below.items() if mark)
+
+    def out(pairs: list[tuple[bytes, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.int64())], names=["id", "mark"])
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        pairs: list[tuple[bytes, int]] = []
+        for group in by_key(batches):
+            pairs += marks(group)
+            if len(pairs) > 1 << 14:
+                yield out(pairs)
+                pairs = []
+        yield out(pairs)
+
+    dealt = dealt.select("key", "id", "lo", "n", "words").repartition("key").sortWithinPartitions("key", "id", "lo")
+    return dealt.mapInArrow(built, "id binary, mark long")
+
+
+def maximal_repeats(df: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
+    """words, n_words and leaves: the internal nodes of all subtrees, as far as stretches go; leaves counts different stretches."""
+
+    def nodes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in by_key(batches):
+            suffixes = [w[k:] for _, n, words in group.values() for w in [words.split()] for k in range(n)]
+            found = internal_nodes(suffixes, size)
+            words = [b" ".join(suffixes[leaves[0]][:depth]) for depth, leaves in found]
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array([d for d, _ in found], pa.int64()), pa.array([len(x) for _, x in found], pa.int64())], names=["words", "n_words", "leaves"])
+
+    dealt = [lengthened(sent, size, min(gram, size))[0] for _, sent in rounds(df, size, min(gram, size), FILTER_BITS)]
+    every = reduce(DataFrame.unionByName, [x.select("key", "id", "lo", "n", "words") for x in dealt])
+    found = every.repartition("key").sortWithinPartitions("key", "id", "lo").mapInArrow(nodes, "words binary, n_words long, leaves long")
+    return found.withColumn("words", F.col("words").cast("string"))
+
+
+def cut(rows: DataFrame, size: int, width: int) -> DataFrame:
+    """Stretches (id, lo, n, ahead, words) with their suffixes dealt by ranges of width words that they begin before the anchor."""
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held += zip(*(c.to_pylist() for c in batch.columns))
-            if len(held) < COLLECTED:
-                continue
-            cut = len(held)
-            while cut and held[cut - 1][0] == held[-1][0]:
-                cut -= 1
-            if cut:
-                yield out(marks(held[:cut]))
-                held = held[cut:]
-        yield out(marks(held))
-
-    def out(found: Iterator[tuple[bytes, int]]) -> pa.RecordBatch:
-        pairs = list(found)
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.int64())], names=["id", "mark"])
+            for part in runs(batch, "words"):
+                made = []
+                for i, lo, n, ahead, words in zip(*(c.to_pylist() for c in part.columns)):
+                    w = words.split()
+                    for r in range((ahead - n + 1) // width, ahead // width + 1):
+                        first, last = max(0, ahead - (r + 1) * width + 1), min(n - 1, ahead - r * width)
+                        common = w[ahead - r * width : ahead - (r + 1) * width + 1 + size]  # of all windows of the range
+                        key = xxhash.xxh3_64_intdigest(b" ".join(common), width << 8 | r) - (1 << 63)
+                        made.append((key, i, lo + first, last - first + 1, ahead - first, b" ".join(w[first : last + size])))
+                kinds = (pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*made), kinds)], names=["key", "id", "lo", "n", "ahead", "words"])
 
-    return dealt.mapInArrow(built, "id binary, mark long")
+    return rows.select("id", "lo", "n", "ahead", "words").mapInArrow(parts, "key long, id binary, lo long, n long, ahead long, words binary")
 
 
-def repeats(df: DataFrame, size: int = SIZE, gram: int = GRAM, filter_bits: int = FILTER_BITS) -> DataFrame:
-    """doc_id, h (XXH64 of the text) and the words of it that repeated windows cover: spans, an array of start, end, start, ..."""
-    spark, kind = df.sparkSession, id_type(df)
-    gram = min(gram, size)
+def lengthened(sent: DataFrame, size: int, gram: int, most: int = 0) -> tuple[DataFrame, DataFrame | None]:
+    """sent(key, id, lo, n, ahead, words, of) in partitions of at most `most` stretches, by longer prefixes, and marks of windows that are prefixes as a whole.
+
+    of is how often the anchor occurs; it tells which partitions may be too large, and only these are counted.
+    """
+    most = most or GROUP
+    may, width, ready, marks = sent.where(F.col("of") > most), size - gram + 1, [sent.where(F.col("of") <= most).drop("of")], None
+    may = may.drop("of")
+    while True:
+        crowded = table(may.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > most).select("key"))
+        n = crowded.count()
+        ready.append(may if not n else may.join(small(crowded, n), "key", "left_anti"))
+        if not n:
+            break
+        width = -(-width // 2)
+        may = table(cut(may.join(small(crowded, n), "key", "left_semi"), size, width))
+        if width == 1:
+            again = table(may.groupBy("words").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
+            marks = with_known(may, again, ["words"], "k").where("k is not null").select("id", F.expr("shiftleft(1L, cast(lo as int))").alias("mark"))
+            break
+    return reduce(DataFrame.unionByName, ready), marks
+
+
+def rounds(df: DataFrame, size: int, gram: int, filter_bits: int) -> Iterator[tuple[DataFrame, DataFrame]]:
+    """For each share of the recurring anchors: all stretches (doc_id, h, first, id, ...), and those sent with their words."""
     rows = df.where("text is not null").select("doc_id", F.xxhash64("text").alias("h"), F.col("text").cast("binary").alias("body"))
-    recurring = table(anchors(rows, size, gram).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    recurring = table(anchors(rows, size, gram).groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
     n = recurring.count()
     bits = min(filter_bits, max(1 << 20, 1 << (16 * n).bit_length()))
-    rounds = max(1, -(-4 * n // bits))
+    several = max(1, -(-4 * n // bits))
+    often = table(recurring.where(F.col("n") > GROUP).select("key", F.col("n").alias("of")))
+    n_often = often.count()
+    for r in range(several):
+        mine = recurring.where(F.pmod(F.shiftrightunsigned("key", 32), F.lit(several)) == r)
+        found = table(stretches(rows, bit_filter(mine.select("key"), bits), bits, (r, several), size, gram, id_type(df)))
+        sent = found.where("words is not null").select("key", "id", F.lit(0).cast("long").alias("lo"), F.col("n_starts").alias("n"), "ahead", "words")
+        sent = sent.join(small(often, n_often), "key", "left").withColumn("of", F.coalesce("of", F.lit(0))) if n_often else sent.withColumn("of", F.lit(0))
+        yield found, sent
+
+
+def repeats(df: DataFrame, size: int = SIZE, gram: int = GRAM, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """doc_id, h (XXH64 of the text) and the words of it that repeated windows cover: spans, an array of start, end, start, ..."""
+    kind, gram = id_type(df), min(gram, size)
     marked = []
-    for r in range(rounds):
-        mine = recurring.where(F.pmod(F.shiftrightunsigned("key", 32), F.lit(rounds)) == r)
-        found = table(stretches(rows, bit_filter(mine, bits), bits, (r, rounds), size, gram, kind))
-        dealt = found.where("words is not null").select("key", "id", "n_starts", "words").repartition("key").sortWithinPartitions("key", "id")
-        marks = table(subtrees(dealt, size))
-        marked.append(table(found.select("doc_id", "h", "first", "id").join(marks, "id").select("doc_id", "h", "first", "mark")))
-    every = marked[0]
-    for more in marked[1:]:
-        every = every.unionByName(more)
-    gathered = every.groupBy("doc_id", "h").agg(F.collect_set(F.struct("first", "mark")).alias("m"))
+    for found, sent in rounds(df, size, gram, filter_bits):
+        dealt, whole = lengthened(sent, size, gram)
+        marks = subtrees(dealt, size)
+        if whole is not None:
+            marks = marks.unionByName(whole).groupBy("id").agg(F.bit_or("mark").alias("mark"))
+        marked.append(table(found.select("doc_id", "h", "first", "id").join(table(marks), "id").select("doc_id", "h", "first", "mark")))
+    gathered = reduce(DataFrame.unionByName, marked).groupBy("doc_id", "h").agg(F.collect_set(F.struct("first", "mark")).alias("m"))
 
     def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -295,7 +375,7 @@ def remove_repeats(df: DataFrame, size: int = SIZE) -> DataFrame:
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    out = remove_repeats(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
