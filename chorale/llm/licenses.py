@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import small, table
+from .util import documents, small, table
 
 COSINE = 0.6
 #: From this cosine on, a whole text counts as a licence file whatever its name.
@@ -149,18 +149,14 @@ def _reverse(column: str) -> Column:
 
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents have no path; source and language stand for the directories that a document lies in."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     path = F.concat_ws("/", F.coalesce("source", F.lit("-")), F.coalesce("lang", F.lit("-")), F.coalesce(F.col("doc_id").cast("string"), F.lit("-")))
     return licenses(docs.select("doc_id", "text", path.alias("path")))
 
 
-#: The SQL stands as it was given: it looks only at texts and lines with one of these and lacks the last template, so it gives
-#: lines such as "All rights reserved." no licence of their own, where the query does.
-CUES = ("licens", "licenc", "copyright", "spdx", "permission", "redistribut", "public domain")
-_SAID = [(name, text) for name, texts in TEMPLATES.items() for text in texts][:-1]
+_SAID = [(name, text) for name, texts in TEMPLATES.items() for text in texts]
 _VALUES = ", ".join("('{}', {}, '{}')".format(name, i, text.replace("'", "''")) for i, (name, text) in enumerate(_SAID))
 _WORDS = r"list_filter(string_split_regex(lower({}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
-_CUED = "(" + " or ".join(f"contains(lower({{0}}), '{c}')" for c in CUES) + ")"
 ORACLE = {
     "op5_license_scan": f"""
         with docs as (select doc_id, text, concat_ws('/', coalesce(source, '-'), coalesce(lang, '-'), coalesce(doc_id::varchar, '-')) as path from documents),
@@ -170,8 +166,8 @@ ORACLE = {
         total as (select count(*)::double as n from docs),
         tv as (select license, t, word, tf * (ln((1.0 + n) / (1.0 + coalesce(df, 0))) + 1.0) as w from tw left join seen using (word), total),
         tn as (select license, t, word, w / sqrt(sum(w * w) over (partition by t)) as t_w from tv),
-        lic as (select doc_id, path, text from docs where {_CUED.format("text")}),
-        units as (select doc_id, path, unit, false as whole from (select doc_id, path, unnest(string_split(text, chr(10))) as unit from lic) where {_CUED.format("unit")}
+        lic as (select doc_id, path, text from docs where text is not null),
+        units as (select doc_id, path, unit, false as whole from (select doc_id, path, unnest(string_split(text, chr(10))) as unit from lic)
                   union all select doc_id, path, text, true from lic),
         terms as (select unit, word, count(*) as tf from (select unit, unnest({_WORDS.format("unit")}) as word from (select distinct unit from units)) group by all),
         uv as (select unit, word, tf * (ln((1.0 + n) / (1.0 + coalesce(df, 0))) + 1.0) as w from terms left join seen using (word), total),

@@ -237,6 +237,36 @@ def test_repeats_are_removed(spark, monkeypatch, size, seed):
     assert got == brute_repeats(texts, size)
 
 
+def test_internal_nodes_are_the_maximal_repeats():
+    r = random.Random(12)
+    for _ in range(60):
+        words = [r.choice([b"a", b"b"]) for _ in range(r.randrange(2, 40))]
+        cuts = [words[i : i + 9] for i in range(len(words))]
+        want = {}
+        for depth in range(2, 10):
+            for prefix in {tuple(w[:depth]) for w in cuts if len(w) >= depth}:
+                below = {i for i, w in enumerate(cuts) if tuple(w[:depth]) == prefix}
+                if len(below) > 1 and len({tuple(cuts[i][depth : depth + 1]) for i in below} | ({()} if any(len(cuts[i]) == depth for i in below) else set())) > 1 or len(below) > 1 and all(len(cuts[i]) == depth for i in below):
+                    want[depth, prefix] = below
+        got = {(d, tuple(cuts[x[0]][:d])): set(x) for d, x in substring_dedup.internal_nodes(cuts, 2)}
+        assert got == want
+
+
+@pytest.mark.parametrize("most", [3, 20])
+def test_crowded_prefixes_are_lengthened(spark, monkeypatch, most):
+    monkeypatch.setattr(substring_dedup, "GROUP", most)
+    r = random.Random(13)
+    say = lambda k: " ".join(r.choice("abcdefgh") + str(r.randrange(40)) for _ in range(k))
+    hot = "one two three four"
+    texts = [f"{say(14)} {hot} {say(14)}" for _ in range(60)]
+    texts += [f"{say(3)} {texts[k]}" for k in range(0, 60, 7)] + [f"{texts[k].split(' ', 4)[-1]} {say(4)}" for k in range(0, 60, 9)] + [texts[5]] * 3
+    got = {x.doc_id: (x.n_words, x.n_removed, x.kept) for x in substring_dedup.remove_repeats(table(spark, texts), 12).collect()}
+    assert got == brute_repeats(texts, 12)
+    nodes = substring_dedup.maximal_repeats(table(spark, texts), 12, 4).collect()
+    said = " | ".join(texts)
+    assert nodes and all(said.count(x.words) > 1 and len(x.words.split()) == x.n_words >= 12 and x.leaves > 1 for x in nodes)
+
+
 def test_repeats_in_rounds_and_empty(spark):
     texts = corpus(6)
     spans = substring_dedup.repeats(table(spark, texts), 6, gram=3, filter_bits=1 << 8)
