@@ -35,7 +35,7 @@ def frame_count(n_samples: int) -> int:
 
 def power_spectrum(frames: np.ndarray, size: int = FFT_SIZE) -> np.ndarray:
     """Squared magnitudes of the non-negative frequencies of zero-padded frames."""
-    spectrum = np.fft.rfft(frames, n=size, axis=-1)
+    spectrum = np.fft.rfft(frames.astype(np.float64), n=size, axis=-1)
     return spectrum.real**2 + spectrum.imag**2
 
 

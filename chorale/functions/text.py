@@ -1,31 +1,42 @@
-"""Measures of texts, within the row: no shuffle, whatever the number of texts."""
+"""Measures of texts, within the row: no shuffle, whatever the number of texts. Characters and n-grams are counted in Arrow batches."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+
+def entropy_of(text: str) -> float:
+    """Bits for each code point of a text."""
+    if not text:
+        return 0.0
+    if text.isascii():
+        counts = np.bincount(np.frombuffer(text.encode(), np.uint8))
+        counts = counts[counts > 0]
+    else:
+        counts = np.unique(np.frombuffer(text.encode("utf-32-le"), np.uint32), return_counts=True)[1]
+    share = counts / counts.sum()
+    return float(-(share * np.log2(share)).sum()) + 0.0
 
 
 def char_entropy(text: Column) -> Column:
-    """Bits for each code point; 0 for an empty or null text. Each distinct character is counted by what removing it removes."""
-    text = F.coalesce(text, F.lit(""))
-    n = F.char_length(text)
+    """Bits for each code point; 0 for an empty or null text."""
 
-    def part(c: Column) -> Column:
-        p = (F.octet_length(text) - F.octet_length(F.replace(text, c, F.lit("")))) / F.octet_length(c) / n
-        return -p * F.log2(p)
+    def measured(texts: pa.Array) -> pa.Array:
+        return pa.array([entropy_of(t.as_py()) for t in texts], pa.float64())
 
-    # 0.0 for a text without characters: split() makes one empty string of it
-    parts = F.transform(F.array_distinct(F.split(text, "")), part)
-    return F.when(n == 0, F.lit(0.0)).otherwise(F.aggregate(parts, F.lit(0.0), lambda a, x: a + x))
+    return F.arrow_udf(measured, DoubleType())(F.coalesce(text, F.lit("")))
 
 
-def is_hallucination(text: Column, threshold: float = 2.4) -> Column:
-    """Low entropy for ten bytes or more: below 8 / threshold bits. A threshold of 0 or less turns the test off."""
+def is_hallucination(text: Column, threshold: float = 2.4, entropy: Column | None = None) -> Column:
+    """Low entropy for ten bytes or more: below 8 / threshold bits. A threshold of 0 or less turns the test off; entropy if known already."""
     if threshold <= 0:
         return F.lit(False)
     text = F.coalesce(text, F.lit(""))
-    return (F.octet_length(text) >= 10) & (char_entropy(text) < 8 / threshold)
+    return (F.octet_length(text) >= 10) & ((char_entropy(text) if entropy is None else entropy) < 8 / threshold)
 
 
 def words(text: Column) -> Column:
@@ -52,7 +63,16 @@ def ngrams(items: Column, n: int) -> Column:
 
 def repeat_ratio(text: Column, n: int = 3) -> Column:
     """The share of a text's word n-grams that occurred before in it."""
-    return let(ngrams(words(text), n), lambda g: F.when(F.size(g) == 0, F.lit(0.0)).otherwise(1 - F.size(F.array_distinct(g)) / F.size(g)))
+
+    def measured(texts: pa.Array) -> pa.Array:
+        out = []
+        for t in texts:
+            said = t.as_py().encode().split()  # bytes: the white space of the pattern, no other
+            k = len(said) - n + 1
+            out.append(1 - len(set(zip(*(said[j:] for j in range(n))))) / k if k > 0 else 0.0)
+        return pa.array(out, pa.float64())
+
+    return F.arrow_udf(measured, DoubleType())(F.coalesce(text, F.lit("")))
 
 
 def blocked(tokens: Column, n: int) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -55,10 +55,11 @@ def kmeans_step(vectors: DataFrame, centres: list[tuple[int, list[float]]]) -> D
     return vectors.select("vec_id", F.array_min(F.array(*apart)).alias("m")).select("vec_id", "m.centre", "m.distance")
 
 
-def compact_labels(labels: DataFrame, order: str, label: str = "label") -> DataFrame:
-    """Adds compact: labels numbered from 0 by first appearance in order. Distinct labels are few, so one window ranks them."""
-    first = labels.groupBy(label).agg(F.min(order).alias("_first"))
-    from pyspark.sql.window import Window as W
+def compact_labels(labels: DataFrame, order: str, label: str = "label", most: int = 400_000) -> DataFrame:
+    """Adds compact: labels numbered from 0 by first appearance in order.
 
-    ranked = first.select(label, (F.row_number().over(W.orderBy("_first")) - 1).cast("long").alias("compact"))
-    return labels.join(F.broadcast(ranked), label)
+    One window ranks the distinct labels, two numbers each; they are broadcast if they were counted to be at most `most`.
+    """
+    ranked = labels.groupBy(label).agg(F.min(order).alias("_first"))
+    ranked = ranked.select(label, (F.row_number().over(Window.orderBy("_first")) - 1).cast("long").alias("compact"))
+    return labels.join(F.broadcast(ranked) if labels.select(label).distinct().count() <= most else ranked, label)

@@ -104,14 +104,15 @@ def cluster(x: np.ndarray, method: str = "ahc", threshold: float = 0.5, k: int |
     return compact(linkage(x, threshold, k, lo, hi) if method == "ahc" else spectral(x, k, lo, hi))
 
 
-def cluster_windows(vectors: DataFrame, key: str = "clip_id", order: str = "vec_id", **how) -> DataFrame:
-    """key, order, label of vectors(key, order, embedding)."""
-    kind = lambda c: vectors.schema[c].dataType.simpleString()
+def cluster_windows(vectors: DataFrame, key: str = "clip_id", order: str = "vec_id", carry: tuple[str, ...] = (), **how) -> DataFrame:
+    """key, order, the columns to carry and label of vectors(key, order, embedding, ...)."""
+    columns = [key, order, *carry]
+    kinds = ", ".join(f"{c} {vectors.schema[c].dataType.simpleString()}" for c in columns)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(order)
         x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
         norms = np.linalg.norm(x, axis=1, keepdims=True)
-        return pd.DataFrame({key: pdf[key].to_numpy(), order: pdf[order].to_numpy(), "label": cluster(x / np.where(norms > 0, norms, 1.0), **how)})
+        return pdf[columns].assign(label=cluster(x / np.where(norms > 0, norms, 1.0), **how))
 
-    return vectors.select(key, order, "embedding").groupBy(key).applyInPandas(one, f"{key} {kind(key)}, {order} {kind(order)}, label long")
+    return vectors.select(*columns, "embedding").groupBy(key).applyInPandas(one, f"{kinds}, label long")

@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 
-def intervals(ref: DataFrame, hyp: DataFrame, collar: float = 0.0) -> DataFrame:
+def intervals(ref: DataFrame, hyp: DataFrame, collar: float = 0.0, bucket: float = 60.0) -> DataFrame:
     """uri, k, lo, hi, ref (sorted distinct speakers), hyp of each elementary interval between boundaries.
 
     With a collar, intervals whose middle is nearer than it to a reference boundary are left out. Boundaries are put in order
-    by a window and the speakers of an interval by an equi join on uri with a range condition.
+    by a window and the speakers of an interval by an equi join on uri and a bucket of time, with a range condition.
     """
     cuts = ref.select("uri", F.explode(F.array("start", "end")).alias("t"))
     every = cuts.unionByName(hyp.select("uri", F.explode(F.array("start", "end")).alias("t")))
@@ -27,8 +27,9 @@ def intervals(ref: DataFrame, hyp: DataFrame, collar: float = 0.0) -> DataFrame:
         grid = grid.join(near, (F.col("uri") == F.col("c_uri")) & (F.col("mid") > F.col("t") - collar) & (F.col("mid") < F.col("t") + collar), "left_anti")
 
     def active(side: DataFrame, name: str) -> DataFrame:
-        s = side.select(F.col("uri").alias("s_uri"), "speaker", F.col("start").alias("s"), F.col("end").alias("e"))
-        hit = grid.join(s, (F.col("uri") == F.col("s_uri")) & (F.col("mid") >= F.col("s")) & (F.col("mid") < F.col("e")))
+        s = side.select(F.col("uri").alias("s_uri"), "speaker", F.col("start").alias("s"), F.col("end").alias("e")).where("e > s")
+        s = s.select("*", F.explode(F.sequence(F.floor(F.col("s") / bucket), F.floor(F.col("e") / bucket))).alias("b"))
+        hit = grid.join(s, (F.col("uri") == F.col("s_uri")) & (F.floor(F.col("mid") / bucket) == F.col("b")) & (F.col("mid") >= F.col("s")) & (F.col("mid") < F.col("e")))
         return hit.groupBy("uri", "k").agg(F.sort_array(F.collect_set("speaker")).alias(name))
 
     out = grid.join(active(ref, "ref"), ["uri", "k"], "left").join(active(hyp, "hyp"), ["uri", "k"], "left")

@@ -21,6 +21,12 @@ def read(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf: str) -> DataFrame:
+    """documents, dealt anew if they come in fewer partitions than there are cores, as a file of one large row group does."""
+    df, cores = read(spark, sf, "documents"), spark.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def frames(spark: SparkSession, sf: str) -> DataFrame:
     """clip_id (user), frame (six hours), rms of the frame's events; a frame without events is silence."""
     frame = F.expr(f"cast(timestampdiff(SECOND, timestamp_ntz'2024-01-01 00:00:00', ts) div {FRAME_S} as bigint)")
@@ -88,6 +94,14 @@ def tokens(spark: SparkSession, sf: str) -> DataFrame:
     return w.select("doc_id", F.col("pos").cast("long").alias("pos"), token.cast("long").alias("token"), (-(F.length("word") % 9) / 10.0).alias("prob"))
 
 
+def streams(spark: SparkSession, sf: str) -> DataFrame:
+    """The same with a document's tokens as arrays: doc_id, token, prob."""
+    mark = lambda i: F.lit(MARK) + F.floor(i / MARK_EVERY) % 1500
+    token = lambda w, i: F.when(i % MARK_EVERY == 0, mark(i)).otherwise((F.length(w) * 97 + F.ascii(w)) % (VOCAB + 10)).cast("long")
+    w = documents(spark, sf).select("doc_id", F.array_remove(F.split("text", r"\s+"), "").alias("w"))
+    return w.select("doc_id", F.transform("w", token).alias("token"), F.transform("w", lambda x: -(F.length(x) % 9) / 10.0).alias("prob"))
+
+
 TOKENS = rf"""tokens as (
     select doc_id, pos::bigint as pos, (case when pos % {MARK_EVERY} = 0 then {MARK} + (pos // {MARK_EVERY}) % 1500 else (length(word) * 97 + ascii(word)) % {VOCAB + 10} end)::bigint as token, -(length(word) % 9) / 10.0::double as prob
     from (select doc_id, i as pos, w[i + 1] as word from (select doc_id, w, unnest(range(len(w))) as i from (select doc_id, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') as w from documents))))"""

@@ -45,14 +45,13 @@ ENTROPY = """ent as (
 
 @query("select d.doc_id, lang, coalesce(entropy, 0.0) as entropy from documents d left join ent using (doc_id)", ENTROPY)
 def char_entropy(spark, sf):
-    return A.read(spark, sf, "documents").select("doc_id", "lang", R(text.char_entropy(F.col("text"))).alias("entropy"))
+    return A.documents(spark, sf).select("doc_id", "lang", R(text.char_entropy(F.col("text"))).alias("entropy"))
 
 
 @query("select d.doc_id, lang, strlen(text)::bigint as n_bytes, coalesce(entropy, 0.0) as entropy, strlen(text) >= 10 and coalesce(entropy, 0.0) < 8 / 2.4 as flagged from documents d left join ent using (doc_id)", ENTROPY)
 def hallucination_flag(spark, sf):
-    return A.read(spark, sf, "documents").select(
-        "doc_id", "lang", F.octet_length("text").cast("long").alias("n_bytes"), R(text.char_entropy(F.col("text"))).alias("entropy"), text.is_hallucination(F.col("text")).alias("flagged")
-    )
+    measured = A.documents(spark, sf).select("doc_id", "lang", "text", text.char_entropy(F.col("text")).alias("e"))
+    return measured.select("doc_id", "lang", F.octet_length("text").cast("long").alias("n_bytes"), R("e").alias("entropy"), text.is_hallucination(F.col("text"), entropy=F.col("e")).alias("flagged"))
 
 
 @query("select lang, count(*) as n, sum((strlen(text) >= 10 and coalesce(entropy, 0.0) < 8 / 2.4)::bigint)::bigint as n_flagged, round(avg(coalesce(entropy, 0.0)), 4) as mean_entropy from documents d left join ent using (doc_id) group by lang", ENTROPY)
@@ -74,8 +73,8 @@ DWORDS = r"dw as (select doc_id, list_filter(string_split_regex(text, '\s+'), la
     DWORDS,
 )
 def ngram_repeat_ratio(spark, sf):
-    grams = text.ngrams(text.words(F.col("text")), 3)
-    return A.read(spark, sf, "documents").select("doc_id", F.size(grams).cast("long").alias("n_ngrams"), R(text.repeat_ratio(F.col("text"))).alias("repeat_ratio"))
+    n = F.greatest(F.size(text.words(F.col("text"))) - 2, F.lit(0))
+    return A.documents(spark, sf).select("doc_id", n.cast("long").alias("n_ngrams"), R(text.repeat_ratio(F.col("text"))).alias("repeat_ratio"))
 
 
 @query(
@@ -179,7 +178,17 @@ def nearest_silence(spark, sf):
     return vad.nearest_silence(clips.select("clip_id", F.floor(F.col("length") / 2).cast("long").alias("target")), gaps, 10)
 
 
-@query()
+@query(
+    """select clip_id, k as chunk_idx, s as "start", e as "end" from plan""",
+    "recursive " + A.FRAMES, RUNS, SEGS, CLIPS, GAPS,
+    """listed as (select c.clip_id, length, coalesce(g, []) as g from clips c left join (select clip_id, list({'s': "start", 'e': "end"} order by "start") as g from gaps group by clip_id) using (clip_id)),
+       plan(clip_id, length, g, k, s, e) as (
+         select clip_id, length, g, k, s0, case when length - s0 > 30 then least(greatest(coalesce(near, s0 + 29), s0 + 1), s0 + 30) else length end
+         from (select clip_id, length, g, 0::bigint as k, 0::bigint as s0, list_sort(list_transform(list_filter(g, lambda x: x.e > 25 and x.s < 33), lambda x, i: {'d': abs(least(greatest(least(greatest((x.s + x.e) // 2, 25), 33), x.s), x.e) - 29), 'i': i, 'p': least(greatest(least(greatest((x.s + x.e) // 2, 25), 33), x.s), x.e)}))[1].p as near from listed where length > 0)
+         union all
+         select clip_id, length, g, k, s0, case when length - s0 > 30 then least(greatest(coalesce(near, s0 + 29), s0 + 1), s0 + 30) else length end
+         from (select clip_id, length, g, k + 1 as k, e as s0, list_sort(list_transform(list_filter(g, lambda x: x.e > e + 25 and x.s < e + 33), lambda x, i: {'d': abs(least(greatest(least(greatest((x.s + x.e) // 2, e + 25), e + 33), x.s), x.e) - e - 29), 'i': i, 'p': least(greatest(least(greatest((x.s + x.e) // 2, e + 25), e + 33), x.s), x.e)}))[1].p as near from plan where e < length))""",
+)
 def chunk_plan(spark, sf):
     _, clips, gaps = vad_gaps(spark, sf)
     return sequential.chunk_plan(gaps, clips, chunk=30, step=29, reach=4)
@@ -311,7 +320,7 @@ def labeled_transcript_timed(spark, sf):
     return subtitles.labeled(transcript.turns(_attributed(spark, sf)), timed=True)
 
 
-@query()
+@query(f"""select clip_id, to_json({{'text': coalesce(string_agg(case when t <> '' then t end, ' ' order by seg_idx), ''), 'segments': list({{'text': text, 'start': "start", 'end': "end"}} order by seg_idx)}})::varchar as json from (select *, {TRIM} as t from segments) group by clip_id""", A.SEGMENTS)
 def result_json(spark, sf):
     return subtitles.to_json(A.segments(spark, sf))
 
@@ -393,9 +402,24 @@ def jer(spark, sf):
     return metrics.jer(g, _mapping(g)).select("uri", R("jer").alias("jer"))
 
 
-@query()
+#: The best of all ways to map three roles to three speakers.
+BEST = """ways as (select * from (values (0, 1, 2), (0, 2, 1), (1, 0, 2), (1, 2, 0), (2, 0, 1), (2, 1, 0)) t(u, a, s)),
+  tried as (select uri, w.u, w.a, w.s, sum(case when (ref = 'user' and hyp = w.u) or (ref = 'assistant' and hyp = w.a) or (ref = 'system' and hyp = w.s) then seconds else 0 end) as total from both_, ways w group by uri, w.u, w.a, w.s),
+  chosen as (select * from (select *, row_number() over (partition by uri order by total desc, u, a, s) as r from tried) where r = 1),
+  best as (select b.uri, ref, hyp from both_ b join chosen c on b.uri = c.uri and seconds > 0 and ((ref = 'user' and hyp = c.u) or (ref = 'assistant' and hyp = c.a) or (ref = 'system' and hyp = c.s)))"""
+
+
+@query("select uri, ref, hyp::bigint as hyp from best", A.SEGMENTS, A.TIMELINES, GRID, ACTIVE, BOTH, BEST)
 def hungarian_map(spark, sf):
-    return metrics.optimal_mapping(metrics.cooccurrence(_grid(spark, sf)))
+    return metrics.optimal_mapping(metrics.cooccurrence(_grid(spark, sf))).select("uri", "ref", F.col("hyp").cast("long").alias("hyp"))
+
+
+@query(DER.format(where="").replace("from m where", "from best m where m.uri = el.uri and").replace("list_contains(ref, r)", "list_contains(el.ref, m.ref)").replace("list_contains(hyp, h)", "list_contains(el.hyp, m.hyp)"), A.SEGMENTS, A.TIMELINES, GRID, ACTIVE, BOTH, BEST)
+def der_optimal(spark, sf):
+    """The error under the mapping that shares the most time, end to end."""
+    g = _grid(spark, sf)
+    out = metrics.der(g, metrics.optimal_mapping(metrics.cooccurrence(g)))
+    return out.select("uri", *[R(c).alias(c) for c in out.columns[1:]])
 
 
 # tokens
@@ -406,7 +430,7 @@ MARKED = f"marked as (select *, sum((token >= {A.MARK})::int) over (partition by
 
 @query("select doc_id, string_agg(token_text, '' order by pos) as text from known group by doc_id", A.TOKENS, A.VOCABULARY, KNOWN)
 def token_decode(spark, sf):
-    return transcript.decode(A.tokens(spark, sf), A.vocab(spark))
+    return transcript.decode(A.streams(spark, sf), A.vocab(spark))
 
 
 PARSED = rf"""said as (select doc_id, seg, regexp_replace(string_agg(token_text, '' order by pos), '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g') as text from marked join vocab using (token) where token < {A.MARK} and not starts_with(token_text, '<|') group by doc_id, seg),
@@ -417,13 +441,12 @@ CONF = f"""conf as (select doc_id, seg - 1 as k, coalesce(m, 0.0) as confidence
 
 @query('select doc_id, seg, "start", "end", text from parsed', A.TOKENS, A.VOCABULARY, MARKED, PARSED)
 def parse_segments(spark, sf):
-    return transcript.parse_segments(A.tokens(spark, sf), A.vocab(spark))
+    return transcript.parse_segments(A.streams(spark, sf), A.vocab(spark))
 
 
 @query("select doc_id, seg, p.k, round(coalesce(confidence, 0.0), 6) as confidence from (select *, row_number() over (partition by doc_id order by seg) - 1 as k from parsed) p left join conf using (doc_id, k)", A.TOKENS, A.VOCABULARY, MARKED, PARSED, CONF)
 def segment_confidence(spark, sf):
-    t = A.tokens(spark, sf)
-    return transcript.zip_confidences(transcript.parse_segments(t, A.vocab(spark)), transcript.segment_confidences(t)).select("doc_id", "seg", "k", R("confidence").alias("confidence"))
+    return transcript.scored_segments(A.streams(spark, sf), A.vocab(spark)).select("doc_id", "seg", "k", R("confidence").alias("confidence"))
 
 
 @query(
@@ -643,14 +666,25 @@ def frame_counts(spark, sf):
     return A.samples(spark, sf).groupBy("clip_id").agg(n.alias("n")).select("clip_id", signal.n_frames(F.col("n")).alias("n_frames"), F.expr("n * 1000 div 16000").alias("duration_ms"))
 
 
-@query()
+@query(
+    """select clip_id, mel, frame, round(((greatest(l, max(l) over (partition by clip_id) - 8.0::double) + 4) / 4)::float::double, 4) as x from logs""",
+    A.SAMPLES,
+    """counted as (select clip_id, unnest(range(least(ceil(count(*) / 160)::bigint + 1, 3000))) as frame from samples group by clip_id),
+       cut as (select s.clip_id, frame, idx - 160 * frame as i, (x::float * (0.5 * (1 - cos(2 * pi() * (idx - 160 * frame) / 400)))::float)::float::double as v from samples s join counted c on s.clip_id = c.clip_id and idx >= 160 * frame and idx < 160 * frame + 400),
+       spectrum as (select clip_id, frame, bin, pow(sum(v * cos(2 * pi() * (bin * i % 512) / 512)), 2) + pow(sum(v * sin(2 * pi() * (bin * i % 512) / 512)), 2) as p from cut, range(201) t(bin) group by all),
+       points as (select i, 700 * (pow(10, 2595 * log10(1 + 8000 / 700.0::double) * i / 81 / 2595) - 1) as hz from range(82) t(i)),
+       filters as (select a.i as mel, bin, (greatest(least((bin - 401 * a.hz / 16000) / (401 * b.hz / 16000 - 401 * a.hz / 16000), (401 * c.hz / 16000 - bin) / (401 * c.hz / 16000 - 401 * b.hz / 16000)), 0.0) * 2 / (c.hz - a.hz))::float::double as weight
+                   from points a join points b on b.i = a.i + 1 join points c on c.i = a.i + 2, range(201) t(bin)),
+       energies as (select clip_id, frame, mel, sum(p * weight) as e from spectrum join filters using (bin) where weight > 0 group by all),
+       logs as (select c.clip_id, c.frame, m.mel, log10(greatest(coalesce(e, 0), 1e-10)) as l from counted c cross join range(80) m(mel) left join energies n on n.clip_id = c.clip_id and n.frame = c.frame and n.mel = m.mel)""",
+)
 def log_mel(spark, sf):
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         m = kernels.log_mel(pdf.sort_values("idx").x.to_numpy(np.float32))
         mel, frame = np.indices(m.shape)
         return pd.DataFrame({"clip_id": pdf.clip_id.iloc[0], "mel": mel.ravel(), "frame": frame.ravel(), "x": m.ravel().astype(float)})
 
-    return A.samples(spark, sf).groupBy("clip_id").applyInPandas(one, "clip_id long, mel long, frame long, x double")
+    return A.samples(spark, sf).groupBy("clip_id").applyInPandas(one, "clip_id long, mel long, frame long, x double").withColumn("x", R("x", 4))
 
 
 # codecs and model tables
@@ -677,13 +711,24 @@ def _round_trip(kind: str) -> Query:
                 back = [kernels.dequantize(kernels.quantize(e, kind), kind) for e in pdf.embedding]
                 yield pd.DataFrame({"vec_id": pdf.vec_id, "n_bytes": [len(kernels.quantize(e, kind)) for e in pdf.embedding], "worst": [float(np.abs(b - np.asarray(e)).max()) for b, e in zip(back, pdf.embedding)]})
 
-        return A.read(spark, sf, "embeddings").select("vec_id", "embedding").mapInPandas(trip, "vec_id long, n_bytes long, worst double")
+        return A.read(spark, sf, "embeddings").select("vec_id", "embedding").mapInPandas(trip, "vec_id long, n_bytes long, worst double").withColumn("worst", R("worst"))
 
     return run
 
 
+def _round_trip_sql(divisor: int, offset: int, least: int, most: int, width: int) -> str:
+    """Single precision throughout; the scale of a block is rounded to half precision, which has eleven bits."""
+    return f"""
+        with x as (select vec_id, i // 32 as block, embedding[i + 1]::float as x from (select vec_id, embedding, unnest(range(64)) as i from embeddings)),
+        s as (select *, (max(abs(x)) over (partition by vec_id, block) / {divisor}::float)::float as s from x),
+        q as (select *, greatest(least(trunc(((x * (1::float / s)::float)::float + case when x < 0 then -0.5 else 0.5 end::float)::float)::bigint + {offset}, {most}), {least}) - {offset} as q,
+                     round_even(s::double / pow(2, floor(log2(s::double)) - 10), 0) * pow(2, floor(log2(s::double)) - 10) as half from s)
+        select vec_id, {2 * width}::bigint as n_bytes, round(max(abs((q * half)::float - x))::double, 6) as worst from q group by vec_id"""
+
+
 for _kind in ("q4", "q5", "q8"):
     QUERIES[f"{_kind}_roundtrip"] = _round_trip(f"{_kind}_0")
+ORACLE |= {"q4_roundtrip": _round_trip_sql(8, 8, 0, 15, 18), "q5_roundtrip": _round_trip_sql(15, 16, 0, 31, 22), "q8_roundtrip": _round_trip_sql(127, 0, -128, 127, 34)}
 
 
 @query("select count(*) as n_tensors, count(*) * 64 as n_params, sum(case when label < 5 then 256 else 68 end)::bigint as n_bytes, sum(case when label < 5 then 0 else 64 end)::bigint as quantized_params, sum(case when label < 5 then 0 else 68 end)::bigint as quantized_bytes from embeddings")
@@ -693,7 +738,7 @@ def model_stats(spark, sf):
     return signal.tensor_statistics(t)
 
 
-@query()
+@query("select clip_id, count(*) as n, round(max(abs(round_even(x * 32767, 0) / 32768 - x)), 6) as worst from samples group by clip_id", A.SAMPLES)
 def audio_round_trip(spark, sf):
     """Signals written as 16-bit WAV in memory and decoded again."""
 
@@ -710,15 +755,20 @@ def audio_round_trip(spark, sf):
             yield pd.DataFrame(rows, columns=["clip_id", "n", "worst"])
 
     s = A.samples(spark, sf).groupBy("clip_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "x"))), lambda v: v["x"]).alias("xs"))
-    return s.mapInPandas(one, "clip_id long, n long, worst double")
+    return s.mapInPandas(one, "clip_id long, n long, worst double").withColumn("worst", R("worst"))
 
 
 # streams
 
 
-@query()
+@query(
+    """select c.clip_id as stream_id, k as chunk_idx, 29 * k as start_sample, least(30, n - 29 * k) as n_samples, round(sum(x::float::double * x::float::double), 6) as energy, k = full_chunks as "last"
+       from (select *, unnest(range(full_chunks + 1)) as k from (select clip_id, count(*) as n, case when count(*) >= 30 then (count(*) - 30) // 29 + 1 else 0 end as full_chunks from samples group by clip_id)) c
+       join samples s on s.clip_id = c.clip_id and idx >= 29 * k and idx < 29 * k + 30 group by c.clip_id, k, n, full_chunks""",
+    A.SAMPLES,
+)
 def stream_chunks(spark, sf):
     s = A.samples(spark, sf)
     last = F.max("idx").over(W.partitionBy("clip_id"))
     pushes = s.select(F.col("clip_id").alias("stream_id"), F.col("idx").alias("seq"), F.array(F.col("x").cast("float")).alias("samples"), (F.col("idx") == last).alias("eos"))
-    return chunks.batch_chunks(pushes, chunk=30, hop=29)
+    return chunks.batch_chunks(pushes, chunk=30, hop=29).withColumn("energy", R("energy"))

@@ -6,6 +6,7 @@ by a function without arguments, so weights are read there and never travel in a
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -20,7 +21,7 @@ from chorale.operators import clustering, scorer, sequential, transcript, vad
 from chorale.sources import models, subtitles
 
 RATE = 16000
-_MADE: dict[int, object] = {}
+_MADE: dict[str, object] = {}
 TOKENS = "clip_id string, chunk_idx long, start_sample long, language string, no_speech double, pos long, token long, token_text string, prob double, start double, end double, error string"
 
 
@@ -106,8 +107,13 @@ def score(chunks: DataFrame, make: Callable[[], scorer.Scorer], options: scorer.
     clip is one task's work.
     """
 
+    call = uuid.uuid4().hex
+
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tool = _MADE.setdefault(id(make), make())
+        if call not in _MADE:  # once in a worker for each call; the scorer of an earlier one is let go
+            _MADE.clear()
+            _MADE[call] = make()
+        tool = _MADE[call]
         clip, before = None, ()
         for pdf in batches:
             rows = []
@@ -202,8 +208,8 @@ def diarize(signal: DataFrame, options: DiarizeOptions = DiarizeOptions(), embed
     kind = signal.schema["clip_id"].dataType.simpleString()
     made = cut(signal, windows, "vec_id").mapInPandas(work, f"clip_id {kind}, vec_id long, start long, end long, embedding array<double>")
     how = {"method": options.method, "threshold": options.threshold, "k": options.num_speakers, "least": options.min_speakers, "most": options.max_speakers}
-    labels = clustering.cluster_windows(made, "clip_id", "vec_id", **how)
-    return sequential.resegment(made.select("clip_id", "vec_id", "start", "end").join(labels, ["clip_id", "vec_id"]).drop("vec_id"), RATE, options.min_duration_s)
+    labels = clustering.cluster_windows(made, "clip_id", "vec_id", ("start", "end"), **how)
+    return sequential.resegment(labels.drop("vec_id"), RATE, options.min_duration_s)
 
 
 def transcribe_with_speakers(words: DataFrame, timeline: DataFrame) -> DataFrame:

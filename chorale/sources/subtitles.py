@@ -69,4 +69,5 @@ def to_json(segments: DataFrame, key: str = "clip_id") -> DataFrame:
     """key, json: text and segments of a clip as one object."""
     listed = F.array_sort(F.collect_list(F.struct("seg_idx", "text", "start", "end")))
     s = segments.groupBy(key).agg(F.transform(listed, lambda x: F.struct(x["text"].alias("text"), x["start"].alias("start"), x["end"].alias("end"))).alias("segments"))
-    return s.join(join_text(segments), key).select(key, F.to_json(F.struct("text", "segments")).alias("json"))
+    told = s.join(join_text(segments), key, "left")  # a clip of blank texts has none
+    return told.select(key, F.to_json(F.struct(F.coalesce("text", F.lit("")).alias("text"), "segments")).alias("json"))

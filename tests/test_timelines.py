@@ -162,3 +162,27 @@ def test_paired_marks(spark):
     assert [r.confidence for r in zipped.orderBy("seg").collect()] == [0.0, -0.5]  # out of step by position
     plain = tokens.where(F.col("token") < 10)
     assert [(r.start, r.end, r.text) for r in transcript.parse_segments(plain, vocab).collect()] == [(0.0, 0.0, "hello world")]
+
+
+def test_attribution_over_a_day_against_all_pairs(spark):
+    """Words of a clip of 24 hours, overlapping segments, gaps, ties and segments without length."""
+    import random
+
+    r = random.Random(5)
+    line = [("c", k, s, s + r.choice([0, 0.5, 3, 200, 4000])) for k in range(60) for s in [float(r.randrange(0, 86400))]] + [("c", 99, 100.0, 160.0), ("c", 98, 100.0, 160.0)]
+    words = [("c", 0, i, f"w{i}", t, t + r.choice([0, 1, 2])) for i in range(400) for t in [float(r.randrange(0, 86400))]] + [("none", 0, 0, "x", 1.0, 2.0)]
+    got = {x.word_idx: x.speaker for x in transcript.attribute(spark.createDataFrame(words, "clip_id string, seg_idx long, word_idx long, word string, start double, end double"), spark.createDataFrame(line, "clip_id string, speaker long, start double, end double")).collect() if x.clip_id == "c"}
+    assert len(got) == 400
+    for _, _, i, _, a, b in words[:-1]:
+        m = (a + b) / 2
+        rank = lambda x: (-1 if x[2] <= m < x[3] else max(x[2] - m, m - x[3], 0), x[2], x[3])
+        best = min(map(rank, line))
+        assert got[i] in {x[1] for x in line if rank(x) == best}
+
+
+def test_json_keeps_clips_of_blank_texts(spark):
+    from chorale.sources import subtitles
+
+    rows = [("a", 0, 0.0, 1.0, "  "), ("b", 0, 0.0, 1.5, " hi ")]
+    got = {x.clip_id: x.json for x in subtitles.to_json(spark.createDataFrame(rows, "clip_id string, seg_idx long, start double, end double, text string")).collect()}
+    assert got == {"a": '{"text":"","segments":[{"text":"  ","start":0.0,"end":1.0}]}', "b": '{"text":"hi","segments":[{"text":" hi ","start":0.0,"end":1.5}]}'}
