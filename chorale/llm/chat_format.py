@@ -12,7 +12,9 @@ order of turn make up the conversation, so no row grows with a conversation's le
 
 Defined results: turns are in order of turn (null last), role and text; null text is empty; role is matched in any case and by
 usual synonyms, an unknown or null one costs a relabelling; a row without conv_id is a conversation of its own; a row that is
-repeated is a turn each time. Extra columns are ignored.
+repeated is a turn each time. In texts "<|im_" is rendered as "<| im_", so no text can forge a turn. conv_id and turn may be of any
+integer type, conv_id a string as well. Extra columns are ignored, whatever their names. Turns of a conversation that agree in
+their number, or have none, are one chunk, so their number bounds a task.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 
 MERGE, INSERT, RELABEL = 1, 2, 3
@@ -31,6 +34,8 @@ SYNONYMS = {"system": 1, "developer": 1, "user": 2, "human": 2, "prompter": 2, "
 START, SYSTEM, USER, ASSISTANT = range(4)
 STATES = range(4)
 FAR = 1 << 60
+#: What begins a mark, and what stands for it in texts, so that none of them forges a turn.
+ESCAPED = ("<|im_", "<| im_")
 OPEN, CLOSE, JOIN = "<|im_start|>{}\n", "<|im_end|>\n", "\n\n"
 
 
@@ -100,11 +105,11 @@ def role_number(role: str | None) -> int:
 
 
 def groups(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[list[tuple]]:
-    """Runs of rows that agree in their first width columns."""
+    """Runs of rows that agree in their first width columns; a row whose first column is null is a run of its own."""
     held: list[tuple] = []
     for batch in batches:
         for row in zip(*(c.to_pylist() for c in batch.columns)):
-            if held and row[:width] != held[0][:width]:
+            if held and (row[:width] != held[0][:width] or row[0] is None):
                 yield held
                 held = []
             held.append(row)
@@ -116,15 +121,14 @@ def format_chat(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """A row for each row of df: conv_id, turn, role, new_role, action, inserted, cost, rendered."""
     conv, turn = df.schema["conv_id"].dataType.simpleString(), df.schema["turn"].dataType.simpleString()
     lost = F.col("conv_id").isNull()
-    alone = F.xxhash64("turn", "role", "text")
-    # null turns are last; rows without a conversation are dealt by their content
-    number = F.when(lost, alone).otherwise(F.coalesce(F.floor(F.col("turn") / chunk).cast("long"), F.lit((1 << 62))))
+    # null turns are last
+    number = F.coalesce(F.floor(F.col("turn") / chunk).cast("long"), F.lit((1 << 62)))
     rows = df.select("conv_id", number.alias("chunk"), "turn", "role", "text")
 
     def pack(pairs: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*pairs), kinds)] if pairs else [pa.array([], k) for k in kinds], names=names)
 
-    id_kind = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
+    id_kind = {k: to_arrow_type(df.schema[c].dataType) for k, c in ((conv, "conv_id"), (turn, "turn"))}
     flat = pa.list_(pa.int64())
 
     def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,10 +167,10 @@ def format_chat(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
     def repaired(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, size = [], 0
         for rows in groups(batches, 2):
-            # without conv_id each row is a conversation: from the start to an end
+            # without conv_id each row is a conversation, from the start to an end
             for part in [[r] for r in rows] if rows[0][0] is None else [rows]:
                 entry, leave, ends = (START, None, True) if part[0][0] is None else part[0][5:8]
-                roles, texts = [role_number(r[3]) for r in part], [r[4] or "" for r in part]
+                roles, texts = [role_number(r[3]) for r in part], [(r[4] or "").replace(*ESCAPED) for r in part]
                 states = trace(roles, entry, leave)
                 for r, told in zip(part, rendered(roles, states, texts, entry, ends)):
                     found.append((r[0], r[2], r[3], *told))
@@ -176,14 +180,16 @@ def format_chat(df: DataFrame, chunk: int = CHUNK) -> DataFrame:
                         found, size = [], 0
         yield pack(found, names, kinds)
 
+    told_schema = f"conv_id {conv}, turn {turn}, role string, new_role string, action string, inserted string, cost long, rendered string"
     dealt = rows.where(~lost).repartition("conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", F.col("turn").asc_nulls_last(), "role", "text")
     made = dealt.select("conv_id", "chunk", "turn", "role").mapInArrow(matrices, f"conv_id {conv}, chunk long, m array<long>")
     told = made.repartition("conv_id").sortWithinPartitions("conv_id", "chunk").mapInArrow(ways, f"conv_id {conv}, chunk long, entry int, leave int, ends boolean")
     known = told.select(F.col("conv_id").alias("t_conv"), F.col("chunk").alias("t_chunk"), "entry", "leave", "ends")
     every = rows.join(known, (F.col("conv_id") == F.col("t_conv")) & (F.col("chunk") == F.col("t_chunk")), "left")
     every = every.select("conv_id", "chunk", "turn", "role", "text", "entry", "leave", "ends")
+    alone, every = every.where("conv_id is null").mapInArrow(repaired, told_schema), every.where("conv_id is not null")
     every = every.repartition("conv_id", "chunk").sortWithinPartitions("conv_id", "chunk", F.col("turn").asc_nulls_last(), "role", "text")
-    return every.mapInArrow(repaired, f"conv_id {conv}, turn {turn}, role string, new_role string, action string, inserted string, cost long, rendered string")
+    return every.mapInArrow(repaired, told_schema).unionByName(alone)
 
 
 def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -194,7 +200,7 @@ ORACLE = {
     # costs[1..4] are those of ending in each state; a conversation's turns are worked off side by side with all others'
     "op4_chat_format": """
         with recursive t as (
-            select conv_id, turn, role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls last, role nulls first, text nulls first) as i, count(*) over (partition by conv_id) as n,
+            select conv_id, turn, role, replace(coalesce(text, ''), '<|im_', '<| im_') as text, row_number() over (partition by conv_id order by turn nulls last, role nulls first, text nulls first) as i, count(*) over (partition by conv_id) as n,
                    case trim(lower(coalesce(role, ''))) when 'system' then 1 when 'developer' then 1 when 'user' then 2 when 'human' then 2 when 'prompter' then 2
                         when 'assistant' then 3 when 'bot' then 3 when 'gpt' then 3 when 'model' then 3 when 'ai' then 3 else 0 end as r
             from conversations),
