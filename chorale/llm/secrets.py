@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .util import documents, id_type, runs
+from .util import documents, id_type, runs, table
 
 KINDS = ("assign", "access", "hex", "guess")
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX = 6, 20, 24
@@ -174,7 +174,7 @@ def vocabulary(path: str) -> list[str]:
 
 
 def learned(df: DataFrame, most: int = LEARNED) -> list[str]:
-    """The most frequent words of all texts, in order; what stands in credential contexts isn't counted."""
+    """The most frequent words of all texts, in order, `most` or somewhat fewer; what stands in credential contexts isn't counted."""
     rows = df.select(F.coalesce("text", F.lit("")).cast("binary").alias("body"))
 
     def out(seen: Counter) -> pa.RecordBatch:
@@ -192,8 +192,16 @@ def learned(df: DataFrame, most: int = LEARNED) -> list[str]:
                     seen.clear()
         yield out(seen)
 
-    counts = rows.mapInArrow(counted, "word string, n long").groupBy(F.lower("word").alias("word")).agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN)
-    return [r.word for r in counts.orderBy(F.col("n").desc(), "word").limit(most).collect()]
+    counts = table(rows.mapInArrow(counted, "word string, n long").groupBy(F.lower("word").alias("word")).agg(F.sum("n").alias("n")).where(F.col("n") >= OFTEN))
+    # a thousand steps of frequency at most tell how far down the words are few enough to be collected
+    step = F.floor(F.log2("n") * 16)
+    left, least = most, None
+    for r in sorted(counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)).alias("k")).collect(), key=lambda r: -r.s):
+        if (left := left - r.k) < 0:
+            break
+        least = r.s
+    rows_of = counts.where(step >= least).collect() if least is not None else []
+    return [r.word for r in sorted(rows_of, key=lambda r: (-r.n, r.word))]
 
 
 #: Any text that CONTEXT or ASSIGN match has one of these, whatever its case, and a colon or an equals sign.
