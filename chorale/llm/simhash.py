@@ -54,7 +54,7 @@ BLOCK, SET_BLOCK = 1 << 17, 1 << 22
 #: One member in so many is counted to tell which upper nodes are larger than a block.
 COUNTED = 16
 #: Members that an upper node should have on average at most, if blocks are exact and if bits are sampled.
-CROWD, SAMPLED_CROWD = 256, 16
+CROWD, SAMPLED_CROWD = 256, 64
 #: Share of bits in which texts of Jaccard similarity 0.8 differ: the angle of their shingle vectors over pi.
 DIFFER = acos(2 * 0.8 / 1.8) / pi
 #: How many masks are expected to hold such a pair together: 1 - exp(-FOUND) of the pairs are found.
