@@ -34,7 +34,7 @@ TARGETS = {"src0": 8, "src1": 6, "src2": 5, "src3": 4}
 REST = 3
 BLOCK_ROWS = 32
 #: Rows in a hash range of a source and sources in a range of them, about; and how many ranges there are at most.
-RANGE_ROWS, RANGES = 2_000, 1 << 20
+RANGE_ROWS, RANGES = 500, 1 << 20
 #: Blocks in a range of slots, about.
 RANGE_BLOCKS = 50_000
 MADE = ("mix_block", "mix_slot", "mix_position")
