@@ -75,6 +75,17 @@ class Scorer(Protocol):
     def step(self, state: Any, token: int) -> tuple[np.ndarray, Any]: ...
 
 
+_MADE: dict[str, Scorer] = {}
+
+
+def made(call: str, make: Callable[[], Scorer]) -> Scorer:
+    """The scorer of a call, made once in a worker; that of an earlier call is let go."""
+    if call not in _MADE:
+        _MADE.clear()
+        _MADE[call] = make()
+    return _MADE[call]
+
+
 class PromptEncoder:
     """Greedy longest match over a vocabulary's bytes; a byte that begins no entry is passed over, the first of equal entries counts."""
 
@@ -193,25 +204,25 @@ def decode_beam(scorer: Scorer, logits: np.ndarray, state: Any, at: int, o: Opti
     rank = lambda b: b[1] / max(len(b[0]), 1) ** 0.6
     lp = log_softmax(constrain(logits, [], o, blank))
     seeds = [int(t) for t in best(lp, max(2 * o.beam_width, o.beam_width + 4)) if not is_stop(int(t)) and np.isfinite(lp[t])][: o.beam_width]
-    beams = [([t], float(lp[t]), [float(lp[t])], state, False) for t in seeds]
+    beams = [([t], float(lp[t]), [float(lp[t])], state, _row(scorer, state, o), False) for t in seeds]
     for k in range(MAX_LENGTH):
-        if all(b[4] for b in beams):
+        if all(b[-1] for b in beams):
             break
         found = []
-        for tokens, score, probs, held, done in beams:
+        for tokens, score, probs, held, seen, done in beams:
             if done:
-                found.append((tokens, score, probs, held, True))
+                found.append((tokens, score, probs, held, seen, True))
                 continue
             logits, new = scorer.step(held, tokens[-1])
-            lp = log_softmax(constrain(logits, tokens, o, blank))
+            lp, row = log_softmax(constrain(logits, tokens, o, blank)), _row(scorer, new, o)
             for t in map(int, best(lp, o.beam_width)):
                 ends = is_stop(t) or at + k + 1 >= scorer.context
-                found.append((tokens if ends else [*tokens, t], score + float(lp[t]), probs if ends else [*probs, float(lp[t])], new, ends))
+                found.append((tokens if ends else [*tokens, t], score + float(lp[t]), probs if ends else [*probs, float(lp[t])], new, seen if ends else seen + row, ends))
         beams = sorted(found, key=rank, reverse=True)[: o.beam_width]
     if not beams:
         return Decoded(no_speech=silent)
-    tokens, _, probs, *_ = max(beams, key=rank)
-    return Decoded(tokens, probs, silent)
+    tokens, _, probs, _, seen, _ = max(beams, key=rank)
+    return Decoded(tokens, probs, silent, seen)
 
 
 def text_of(tokens: list[int], vocab: list[str]) -> str:

@@ -18,10 +18,10 @@ from pyspark.sql.window import Window as W
 
 from chorale.functions import kernels, text
 from chorale.operators import clustering, scorer, sequential, transcript, vad
-from chorale.sources import models, subtitles
+from chorale.sources import exported, models, subtitles
+from chorale.streaming import transcripts
 
 RATE = 16000
-_MADE: dict[str, object] = {}
 TOKENS = "clip_id string, chunk_idx long, start_sample long, language string, no_speech double, pos long, token long, token_text string, prob double, start double, end double, error string"
 
 
@@ -56,6 +56,15 @@ def read_model(spark: SparkSession, path: str) -> DataFrame:
     return models.read_model(spark, path)
 
 
+def read_exported(spark: SparkSession, paths: list[str], vocab_path: str | None = None) -> DataFrame:
+    return exported.read_exported(spark, paths, vocab_path)
+
+
+def stream(pushes: DataFrame, make: Callable[[], scorer.Scorer], options: scorer.Options = scorer.Options()) -> DataFrame:
+    """A row for each chunk of pushes(stream_id, seq, samples, eos), in batch or streaming; transcripts.finish puts them together."""
+    return transcripts.transcribe(pushes, make, options)
+
+
 def model_info(items: DataFrame) -> DataFrame:
     """One row for each file: its hyper-parameters as columns."""
     return items.where("part = 'hparam'").groupBy("path").pivot("name", list(models.HPARAMS)).agg(F.first(F.col("text").cast("int")))
@@ -110,10 +119,7 @@ def score(chunks: DataFrame, make: Callable[[], scorer.Scorer], options: scorer.
     call = uuid.uuid4().hex
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if call not in _MADE:  # once in a worker for each call; the scorer of an earlier one is let go
-            _MADE.clear()
-            _MADE[call] = make()
-        tool = _MADE[call]
+        tool = scorer.made(call, make)
         clip, before = None, ()
         for pdf in batches:
             rows = []

@@ -295,3 +295,105 @@ def test_stream_equals_batch(spark, tmp_path):
     q.awaitTermination(240)
     live = spark.table("chunks_out").toPandas().sort_values(["stream_id", "chunk_idx"]).reset_index(drop=True)
     assert live.round(4).equals(batch.round(4))
+
+
+def test_gaps_in_a_stream_wait():
+    ahead = {s: (s, [], False) for s in (4, 1, 3)}
+    assert [p[0] for p in chunks.in_order(ahead, 0, 9)] == [1] and sorted(ahead) == [3, 4]
+    assert [p[0] for p in chunks.in_order(ahead, 1, 1)] == [3, 4] and not ahead
+
+
+def test_streamed_transcripts_equal_batch(spark, tmp_path):
+    from chorale.plans import facade
+    from chorale.streaming import transcripts
+
+    o = scorer.Options(language="fr", timestamps=True)
+    n, said = 16000, list(MARKS)
+    rows = [(s, k, [0.1] * n, False) for k in range(5) for s in (1, 2)] + [(s, 5, [], True) for s in (1, 2)]
+    schema = "stream_id long, seq long, samples array<float>, eos boolean"
+    batch = transcripts.transcribe(spark.createDataFrame(rows, schema), lambda: Planned(said), o, 2 * n, n)
+    got = {r.stream_id: r for r in transcripts.finish(batch).collect()}
+    assert got[1].text == " ".join(["hello world"] * 5) and got[1].language == "fr" and got[1].errors == 0 and got[1].processed == 4 * n
+    assert [(s.start, s.end, s.text) for s in got[2].segments][:4] == [(0.0, 1.0, "hello"), (1.0, 2.0, "world"), (1.0, 2.0, "hello"), (2.0, 3.0, "world")]
+    # a whole chunk's segments are those of the front's own plan
+    chunk = spark.createDataFrame([("c", 0, 0, [0.1] * n)], "clip_id string, chunk_idx int, start_sample long, samples array<float>")
+    front = facade.transcribe_segments(facade.score(chunk, lambda: Planned(said), o)).orderBy("seg_idx").collect()
+    assert [(s.start, s.end, s.text, s.confidence, s.is_hallucination) for s in front] == [tuple(s) for s in got[1].segments[:2]]
+    bad = transcripts.finish(transcripts.transcribe(spark.createDataFrame(rows[:6], schema), lambda: 1 / 0 if False else {}["x"], o, 2 * n, n)).first()
+    assert bad.errors == 2 and bad.text == "" and bad.segments == []
+    # live, with pushes in the wrong order over the micro-batches, and one twice
+    src = str(tmp_path / "in")
+    for some in (rows[2:4] + rows[6:8], rows[0:2] + rows[2:4], rows[10:], rows[8:10] + rows[4:6]):
+        spark.createDataFrame(some, schema).coalesce(1).write.mode("append").parquet(src)
+    live = transcripts.transcribe(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(src), lambda: Planned(said), o, 2 * n, n)
+    q = live.writeStream.format("memory").queryName("transcripts_out").option("checkpointLocation", str(tmp_path / "cp")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(240)
+    done = {r.stream_id: r for r in transcripts.finish(spark.table("transcripts_out")).collect()}
+    assert done == got
+
+
+def message(*items) -> bytes:
+    def number(n):
+        out = bytearray()
+        while n > 127:
+            out.append(n & 127 | 128)
+            n >>= 7
+        return bytes([*out, n])
+
+    return b"".join(number(k << 3 | (0 if isinstance(v, int) else 2)) + (number(v) if isinstance(v, int) else number(len(v)) + v) for k, v in items)
+
+
+def exported(tensors: dict) -> bytes:
+    kinds = {"float32": 1, "float16": 10, "float64": 11, "int64": 7}
+    return message((1, 8), (7, message(*[(5, message(*[(1, d) for d in x.shape], (2, kinds[x.dtype.name]), (8, n.encode()), (9, x.tobytes()))) for n, x in tensors.items()])))
+
+
+def test_exported_weights(spark, tmp_path):
+    from chorale.sources import exported as source
+
+    rng = np.random.default_rng(8)
+    make = lambda *s: rng.normal(0, 0.2, s).astype("<f4")
+    ln = lambda p: {f"{p}.weight": make(64), f"{p}.bias": make(64)}
+    attention = lambda p: {k: v for q in "qkv" for k, v in {f"{p}.{q}_proj.weight": make(64, 64), f"{p}.{q}_proj.bias": make(64)}.items()} | {f"{p}.out_proj.weight": make(64, 64), f"{p}.out_proj.bias": make(64)}
+    mlp = lambda p: {f"{p}.fc1.weight": make(256, 64), f"{p}.fc1.bias": make(256), f"{p}.fc2.weight": make(64, 256), f"{p}.fc2.bias": make(64)}
+    e, d = "model.encoder", "model.decoder"
+    enc = {f"{e}.conv1.weight": make(64, 80, 3), f"{e}.conv1.bias": make(64), f"{e}.conv2.weight": make(64, 64, 3), f"{e}.conv2.bias": make(64), f"{e}.embed_positions.weight": make(50, 64)}
+    enc |= ln(f"{e}.layer_norm") | attention(f"{e}.layers.0.self_attn") | ln(f"{e}.layers.0.self_attn_layer_norm") | mlp(f"{e}.layers.0") | ln(f"{e}.layers.0.final_layer_norm")
+    dec = {f"{d}.embed_positions.weight": make(17, 64), f"{d}.embed_tokens.weight": make(300, 64), "shape_of": np.arange(3), "proj_out.weight": make(2, 2)} | ln(f"{d}.layer_norm")
+    for i in (0, 1):
+        b = f"{d}.layers.{i}"
+        dec |= attention(f"{b}.self_attn") | ln(f"{b}.self_attn_layer_norm") | attention(f"{b}.encoder_attn") | ln(f"{b}.encoder_attn_layer_norm") | mlp(b) | ln(f"{b}.final_layer_norm")
+    dec[f"{d}.layers.0.fc1.bias"] = dec[f"{d}.layers.0.fc1.bias"].astype("<f2")
+    files = [exported(enc), exported(dec)]
+    model = source.load(files)
+    assert (model.hparams["n_vocab"], model.hparams["n_text_layer"], model.hparams["n_audio_ctx"], model.hparams["n_text_ctx"], model.hparams["n_mels"]) == (300, 2, 50, 17, 80)
+    tool = scorer.TransformerScorer(model)
+    assert np.array_equal(tool.tensor("decoder.blocks.1.cross_attn.query.weight"), dec[f"{d}.layers.1.encoder_attn.q_proj.weight"])
+    assert np.array_equal(tool.tensor("encoder.conv1.weight"), enc[f"{e}.conv1.weight"]) and model.tensors["encoder.conv1.weight"][0] == (3, 80, 64)
+    assert not {"proj_out.weight", "shape_of"} & set(model.tensors) and model.vocab[65] == "A" and model.vocab[299] == "<|extra_299|>" and len(model.vocab) == 300
+    x = np.sin(np.arange(3200) / 20).astype(np.float32)
+    assert tool.start(x, [1, 2])[0].shape == (300,)
+    for name, data in zip(("encoder.onnx", "decoder.onnx", "bad.onnx"), [*files, files[0][:-7]]):
+        (tmp_path / name).write_bytes(data)
+    (tmp_path / "vocab.json").write_text('{"vocab": {"a": 0, "c": 2}}')
+    items = source.read_exported(spark, [str(tmp_path / "encoder.onnx"), str(tmp_path / "decoder.onnx")], str(tmp_path / "vocab.json")).cache()
+    assert {r.name: int(r.text) for r in items.where("part = 'hparam'").collect()} == model.hparams
+    assert [r.text for r in items.where("part = 'vocab' and idx < 4").orderBy("idx").collect()] == ["a", "<|extra_1|>", "c", "<|extra_3|>"]
+    stored = {r.name: (tuple(r["shape"]), bytes(r.raw)) for r in items.where("part = 'tensor'").collect()}
+    assert stored == {k: (s, raw) for k, (s, _, raw) in model.tensors.items()}
+    assert items.where("part = 'error'").count() == 0
+    assert source.read_exported(spark, [str(tmp_path / "bad.onnx")]).where("part = 'error'").count() == 2
+    for broken in (b"\x3a\xff\xff\xff\xff\x0f", message((7, message((5, message((1, 4), (2, 1), (8, b"a"), (9, b"1234")))))), message((7, message((5, message((2, 1), (8, 5))))))):
+        with pytest.raises(models.ModelError):
+            list(source.tensors_of(broken))
+
+
+def test_blocks_are_preferred(spark):
+    rows = [("f", "tensor", "w", 0, "f32"), ("f", "tensor", "w", 1, "q8_0"), ("g", "tensor", "w", 0, "f32"), ("g", "vocab", "w", 0, "utf8")]
+    found = models.get_tensor(spark.createDataFrame(rows, "path string, part string, name string, idx int, dtype string"), "w")
+    assert sorted((r.path, r.dtype) for r in found.collect()) == [("f", "q8_0"), ("g", "f32")]
+
+
+def test_beams_keep_attention():
+    got = scorer.transcribe(Planned([1, 2]), np.zeros(100, np.float32), scorer.Options(language="en", beam_width=3, word_timestamps=True))[0]
+    assert got.tokens == [1, 2] and [a.argmax() for a in got.attention] == [0, 1]
