@@ -26,10 +26,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .util import documents, lower_az, small, table, with_known
+from .util import BROADCAST_BYTES, documents, lower_az, small, table, total_bytes, with_known
 
 SIZE = 13
-#: Windows of a benchmark in one broadcast: some 50 MB at most for words of usual length.
+#: Windows of a benchmark in one broadcast, which also keeps to the bytes of one.
 BLOCK = 200_000
 GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Stands behind a document's last word; no word is like it.
@@ -69,7 +69,7 @@ def occurrences(docs: DataFrame, indexed: DataFrame, n: int) -> DataFrame:
 
     Each document also has a row with sid -1, and the number of its words as start.
     """
-    blocks = max(1, -(-n // BLOCK))
+    blocks = max(1, -(-n // BLOCK), -(-total_bytes(indexed, n) // BROADCAST_BYTES))
     doc = docs.select("doc_id", text_hash(F.col("text")).alias("h"), words(F.coalesce("text", F.lit(""))).alias("w"))
     mark = indexed.sparkSession.range(1).select(F.array().cast("array<string>").alias("window"), F.lit(MARK).alias("prefix"), F.lit(0).alias("offset"), F.lit(-1).cast("long").alias("sid"))
     size = F.size("window")

@@ -10,9 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side is broadcast only when it was counted to have no more rows than this.
-BROADCAST_ROWS = 400_000
+#: A side is broadcast only when it was measured to have no more rows and bytes than these.
+BROADCAST_ROWS, BROADCAST_BYTES = 400_000, 64 << 20
 #: Rows of one key that a shuffled join may bring into a task; keys with more of them are few and are broadcast.
 HOT_ROWS = 50_000
 
@@ -47,23 +48,47 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def row_bytes(df: DataFrame) -> tuple[int, list[Column]]:
+    """What a row of df takes in memory: a fixed part, and what its strings, binaries and collections hold, about."""
+    held = []
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            held.append(F.octet_length(c))
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            held.append(F.octet_length(F.to_json(F.struct(c))))
+    return 16 + 8 * len(df.columns), [F.coalesce(c, F.lit(0)).cast("long") for c in held]
+
+
+def total_bytes(df: DataFrame, rows: int) -> int:
+    """Bytes of df, a written table or cheap to compute, that was counted to have so many rows."""
+    fixed, held = row_bytes(df)
+    return rows * fixed + ((df.agg(F.sum(sum(held, F.lit(0)))).first()[0] or 0) if held and rows else 0)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
-    """df, marked for broadcast if it was counted to be small; otherwise Spark joins by shuffle."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+    """df, marked for broadcast if it was counted and measured to be small; otherwise Spark joins by shuffle."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and total_bytes(df, rows) <= BROADCAST_BYTES else df
 
 
 def with_known(rows: DataFrame, known: DataFrame, key: list[str], weight: str, hot_rows: int = HOT_ROWS) -> DataFrame:
     """rows with the columns of known, a written table of one row for each key of rows; weight says how many rows the key has.
 
-    known is broadcast if it was counted to be small. Otherwise keys with many rows, of which there can only be few, are
-    broadcast, and the others are joined by shuffle. Keys aren't null; rows without a match get nulls.
+    known is broadcast if it was measured to be small. Otherwise keys with many rows, of which there can only be few, are
+    broadcast, and the others are joined by shuffle; should those keys take too many bytes, the ones with the most rows are.
+    Keys aren't null; rows without a match get nulls.
     """
-    n, total = known.agg(F.count(F.lit(1)), F.sum(weight)).first()
-    if n <= BROADCAST_ROWS:
+    fixed, held = row_bytes(known)
+    size, of = sum(held, F.lit(fixed).cast("long")), F.col(weight)
+    n, total, taken = known.agg(F.count(F.lit(1)), F.sum(of), F.sum(size)).first()
+    if n <= BROADCAST_ROWS and (taken or 0) <= BROADCAST_BYTES:
         return rows.join(F.broadcast(known), key, "left")
-    most = max(hot_rows, -(-total // BROADCAST_ROWS))
-    hot = F.broadcast(known.where(F.col(weight) > most))
-    spread = rows.join(hot.select(*key), key, "left_anti").join(known.where(F.col(weight) <= most), key, "left")
+    least = max(hot_rows, -(-total // BROADCAST_ROWS))
+    steps = [least << k for k in range(max(1, (total // least).bit_length() + 1))]  # no key has more rows than the last step
+    parts = known.where(of > least).agg(*[F.coalesce(F.sum(F.when(of > m, size)), F.lit(0)) for m in steps]).first()
+    most = next(m for m, part in zip(steps, parts, strict=True) if part <= BROADCAST_BYTES)
+    hot = F.broadcast(known.where(of > most))
+    spread = rows.join(hot.select(*key), key, "left_anti").join(known.where(of <= most), key, "left")
     return rows.join(hot, key).unionByName(spread)
 
 

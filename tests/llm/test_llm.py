@@ -728,3 +728,18 @@ def test_odd_documents_pass_the_pipeline(spark):
     for _, stage in p.STAGES:
         docs = util.table(stage(spark, docs, f"{DATA}/sf0.001"))
     assert docs.count() > 20
+
+
+@pytest.mark.parametrize(("rows", "limit"), [(400_000, 64 << 20), (400_000, 900), (3, 64 << 20), (400_000, 10)])
+def test_known_rows_are_joined_alike_within_any_bounds(spark, monkeypatch, rows, limit):
+    """All broadcast, only the hottest keys by bytes, only some by rows, or none: the join's rows are the same."""
+    from chorale.llm import util
+
+    monkeypatch.setattr(util, "BROADCAST_ROWS", rows)
+    monkeypatch.setattr(util, "BROADCAST_BYTES", limit)
+    keys = [k for k in range(12) for _ in range(1 + 2 ** (k // 2))] + [99, 99]
+    df = spark.createDataFrame(list(enumerate(keys)), "id long, k long")
+    known = spark.createDataFrame([(k, [f"é{k}" * 20] * 2, {"x": k}, 1 + 2 ** (k // 2)) for k in range(12)], "k long, w array<string>, m map<string,int>, n long")
+    got = util.with_known(df, known, ["k"], "n", hot_rows=3).select("id", "k", "w", "n").collect()
+    assert sorted((r.id, r.k, None if r.w is None else len(r.w), r.n) for r in got) == [(i, k, None if k == 99 else 2, None if k == 99 else 1 + 2 ** (k // 2)) for i, k in enumerate(keys)]
+    assert util.total_bytes(known, 12) > sum(len((f"é{k}" * 20).encode()) * 2 for k in range(12))
