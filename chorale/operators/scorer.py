@@ -299,6 +299,11 @@ class TransformerScorer:
             x = x + self._mlp(x, b)
         return self._norm(x, "encoder.ln_post")
 
+    @property
+    def width(self) -> int:
+        """Of a frame that encode gives."""
+        return self.h["n_audio_state"]
+
     def start(self, samples: np.ndarray, prompt: list[int]) -> tuple[np.ndarray, Any]:
         audio = self.encode(samples)
         layers = range(self.h["n_text_layer"])

@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from chorale.functions import kernels, text
-from chorale.operators import clustering, scorer, sequential, transcript, vad
+from chorale.operators import clustering, embedding, scorer, sequential, transcript, vad
+from chorale.operators.embedding import mean_mel as mean_mel_embedder
+from chorale.plans.progress import Progress
 from chorale.sources import exported, models, subtitles
 from chorale.streaming import transcripts
 
@@ -109,14 +111,14 @@ def cut(signal: DataFrame, ranges: DataFrame, index: str) -> DataFrame:
     return hit.groupBy("clip_id", index, "start", "end").agg(F.flatten(F.transform(ordered, lambda x: x["p"])).alias("samples"))
 
 
-def score(chunks: DataFrame, make: Callable[[], scorer.Scorer], options: scorer.Options = scorer.Options(), carry: bool = False) -> DataFrame:
+def score(chunks: DataFrame, make: Callable[[], scorer.Scorer], options: scorer.Options = scorer.Options(), carry: bool = False, progress: Progress | None = None) -> DataFrame:
     """Tokens of chunks(clip_id, chunk_idx, start_sample, samples), a row each; a chunk that fails is a row with an error.
 
     Chunks are independent of each other unless `carry`, which gives each the text of the one before it in its clip; then a
-    clip is one task's work.
+    clip is one task's work. progress counts the chunks that were scored.
     """
 
-    call = uuid.uuid4().hex
+    call, count = uuid.uuid4().hex, progress.done if progress else None
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tool = scorer.made(call, make)
@@ -131,6 +133,8 @@ def score(chunks: DataFrame, make: Callable[[], scorer.Scorer], options: scorer.
                     rows += [(c, k, at, language, out.no_speech, i, t, text_, p, s, e, None) for i, (t, p, (s, e), text_) in enumerate(zip(out.tokens, out.logprobs, times, (tool.vocab[t] if t < len(tool.vocab) else "" for t in out.tokens)))]
                 except (ValueError, KeyError, IndexError) as e:
                     rows.append((c, k, at, None, None, None, None, None, None, None, None, f"{type(e).__name__}: {e}"))
+                if count is not None:
+                    count.add(1)
             yield pd.DataFrame(rows, columns=[x.split()[0] for x in TOKENS.split(", ")])
 
     dealt = chunks.select(F.col("clip_id").cast("string").alias("clip_id"), F.col("chunk_idx").cast("long").alias("chunk_idx"), F.col("start_sample").cast("long").alias("start_sample"), "samples")
@@ -157,11 +161,16 @@ def transcribe_segments(tokens: DataFrame, threshold: float = 2.4) -> DataFrame:
     return segs.select("clip_id", idx.cast("long").alias("seg_idx"), "start", "end", "text", "confidence", text.is_hallucination(F.col("text"), threshold).alias("is_hallucination"))
 
 
-def transcribe(signal: DataFrame, make: Callable[[], scorer.Scorer], options: scorer.Options = scorer.Options(), config: vad.VadConfig | None = None, carry: bool = False) -> DataFrame:
-    """Segments of clips of any length: chunks are planned at silences, scored and put together."""
+def transcribe(signal: DataFrame, make: Callable[[], scorer.Scorer], options: scorer.Options = scorer.Options(), config: vad.VadConfig | None = None, carry: bool = False, progress: Progress | None = None) -> DataFrame:
+    """Segments of clips of any length: chunks are planned at silences, scored and put together.
+
+    With progress the chunks are counted first; progress.run(action) over the result then tells its listener of them.
+    """
     plan = plan_chunks(signal, config) if config else plan_chunks(signal)
+    if progress:
+        progress.expect(plan)
     chunks = cut(signal, plan, "chunk_idx").withColumn("start_sample", F.col("start"))
-    return transcribe_segments(score(chunks, make, options, carry), options.compression_ratio_threshold)
+    return transcribe_segments(score(chunks, make, options, carry, progress), options.compression_ratio_threshold)
 
 
 def align_words(tokens: DataFrame) -> DataFrame:
@@ -192,24 +201,41 @@ def log_mel(chunks: DataFrame) -> DataFrame:
     return chunks.select("clip_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), "samples").mapInPandas(work, "clip_id string, chunk_idx long, n_frames long, mel array<float>")
 
 
-def mean_mel_embedder(samples: np.ndarray, rate: int = RATE) -> np.ndarray:
-    """The baseline: the mean log-mel frame, of unit length."""
-    v = kernels.log_mel(samples).mean(axis=1)
-    n = float(np.linalg.norm(v))
-    if n < 1e-8:
-        raise ValueError("the window has no direction")
-    return v / n
+def encoder_output(chunks: DataFrame, make: Callable[[], scorer.TransformerScorer]) -> DataFrame:
+    """clip_id, chunk_idx, n_frames, width, output (n_frames rows of width values, flat); a chunk without samples is a row with an error."""
+    call = uuid.uuid4().hex
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for c, k, samples in zip(pdf.clip_id, pdf.chunk_idx, pdf.samples):
+                if samples is None or not len(samples):
+                    rows.append((c, k, None, None, None, "the chunk is empty"))
+                    continue
+                x = scorer.made(call, make).encode(np.asarray(samples, np.float32))
+                rows.append((c, k, *x.shape, x.ravel(), None))
+            yield pd.DataFrame(rows, columns=["clip_id", "chunk_idx", "n_frames", "width", "output", "error"])
 
+    kind = chunks.schema["clip_id"].dataType.simpleString()
+    dealt = chunks.select("clip_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), "samples")
+    return dealt.mapInPandas(work, f"clip_id {kind}, chunk_idx long, n_frames long, width long, output array<float>, error string")
 
-def diarize(signal: DataFrame, options: DiarizeOptions = DiarizeOptions(), embedder: Callable[[np.ndarray, int], np.ndarray] = mean_mel_embedder) -> DataFrame:
-    """clip_id, seg_idx, speaker, start, end (seconds): speech, windows, embeddings, clusters, runs."""
+
+def diarize(signal: DataFrame, options: DiarizeOptions = DiarizeOptions(), embedder: embedding.Embedder | Callable[[np.ndarray, int], np.ndarray] = mean_mel_embedder, make_embedder: Callable[[], embedding.Embedder] | None = None) -> DataFrame:
+    """clip_id, seg_idx, speaker, start, end (seconds): speech, windows, embeddings, clusters, runs.
+
+    The embedder is given, or made in each worker by make_embedder, as one that reads a model's weights has to be.
+    """
     samples = lambda s: int(np.floor(s * RATE + 0.5))
     windows = vad.slide(speech(signal, options.vad), samples(options.window_s), samples(options.hop_s), samples(options.min_duration_s))
     windows = windows.withColumn("vec_id", F.row_number().over(W.partitionBy("clip_id").orderBy("start", "end")).cast("long"))
 
-    def work(batches):
+    call = uuid.uuid4().hex
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tool = embedding.Checked(scorer.made(call, make_embedder) if make_embedder else embedder)
         for pdf in batches:
-            yield pd.DataFrame({"clip_id": pdf.clip_id, "vec_id": pdf.vec_id, "start": pdf.start, "end": pdf.end, "embedding": [embedder(np.asarray(s, np.float32), RATE) for s in pdf.samples]})
+            yield pd.DataFrame({"clip_id": pdf.clip_id, "vec_id": pdf.vec_id, "start": pdf.start, "end": pdf.end, "embedding": [tool.embed(np.asarray(s, np.float32), RATE) for s in pdf.samples]})
 
     kind = signal.schema["clip_id"].dataType.simpleString()
     made = cut(signal, windows, "vec_id").mapInPandas(work, f"clip_id {kind}, vec_id long, start long, end long, embedding array<double>")

@@ -237,6 +237,58 @@ def test_front_end_to_end(spark):
     assert who and who[0].speaker == 0
     with pytest.raises(ValueError):
         facade.DiarizeOptions(hop_s=9)
+    told = []
+    progress = facade.Progress(spark, lambda done, total: told.append((done, total)))
+    again = facade.transcribe(sig, lambda: Planned(said), scorer.Options(language="en", timestamps=True), progress=progress)
+    assert len(progress.run(again.collect)) == len(segs)
+    assert told == [(k + 1, len(told)) for k in range(len(told))] and len(told) == facade.plan_chunks(sig).count()
+
+
+def test_progress_of_failures(spark):
+    from chorale.plans.progress import Progress
+
+    told = []
+    progress = Progress(spark, lambda done, total: told.append(done), seconds=0.01)
+    progress.expect(spark.range(3))
+    with pytest.raises(KeyError):
+        progress.run(lambda: {}["missing"])
+    assert told == []
+    spark.range(50).foreach(lambda r, d=progress.done: d.add(1))  # tasks that ran again counted more than there is
+    assert progress.run(lambda: 7) == 7 and told == [1, 2, 3]
+
+    def broken(done, total):
+        raise OSError("no screen")
+
+    progress = Progress(spark, broken)
+    progress.expect(spark.range(1))
+    with pytest.raises(OSError):
+        progress.run(lambda: 7)
+
+
+def test_embedders_keep_the_contract(spark):
+    from chorale.operators import embedding
+    from chorale.plans import facade
+
+    model = tiny_model()
+    tool = scorer.TransformerScorer(models.parse(model))
+    x = np.sin(np.arange(16000) / 20).astype(np.float32)
+    mean = embedding.EncoderEmbedder(tool)
+    frames = tool.encode(x)
+    assert mean.dim == 8 == frames.shape[1]
+    assert np.allclose(mean.embed(x), frames.mean(axis=0) / np.linalg.norm(frames.mean(axis=0)))
+    for bad in (lambda s, r: np.ones(3), lambda s, r: np.full(3, np.nan), lambda s, r: np.ones((1, 1))):
+        with pytest.raises(ValueError):
+            embedding.Checked(bad).embed(x)
+    with pytest.raises(ValueError):
+        mean.embed(x[:0])
+    with pytest.raises(ValueError):
+        embedding.unit(np.zeros(3))
+    chunk = spark.createDataFrame([("c", 0, 0, x.tolist()), ("d", 0, 0, [])], "clip_id string, chunk_idx int, start_sample long, samples array<float>")
+    got = {r.clip_id: r for r in facade.encoder_output(chunk, lambda: scorer.TransformerScorer(models.parse(model))).collect()}
+    assert np.allclose(np.array(got["c"].output).reshape(got["c"].n_frames, got["c"].width), frames, atol=1e-5)
+    assert got["d"].error and got["d"].output is None
+    who = facade.diarize(chunk.limit(1), make_embedder=lambda: embedding.EncoderEmbedder(scorer.TransformerScorer(models.parse(model))))
+    assert {r.speaker for r in who.collect()} == {0}
 
 
 def blobs(k, n, seed):
